@@ -125,7 +125,7 @@ def _from_tokens(text: Column, pivot_year: int) -> Column:
     return F.get(F.transform(F.array(found), lambda x: F.when(x.between(low, high), x)), F.lit(0))
 
 
-def due_date(c: Column, policy: str = "batch", pivot_year: int | None = None) -> Column:
+def due_date(c: Column, policy: str = "batch", pivot_year: int | None = None, stripped: bool = False) -> Column:
     """Free-form text to DATE, NULL where it is no date.
 
     ``batch`` reads ``yyyy-MM-dd`` strictly and all else day-first; ``interactive`` reads that
@@ -134,7 +134,7 @@ def due_date(c: Column, policy: str = "batch", pivot_year: int | None = None) ->
     if policy not in POLICIES:
         raise ValueError(f"unknown date policy {policy!r}, expected one of {POLICIES}")
     pivot = dt.date.today().year if pivot_year is None else pivot_year
-    text = py_strip(F.coalesce(c, F.lit("")))
+    text = c if stripped else py_strip(F.coalesce(c, F.lit("")))
 
     # The fixed-position branches take years that are in range whatever the day.
     parsed = F.when(text == "", F.lit(None).cast("date"))

@@ -23,14 +23,16 @@ _SPACE_RANGES = (
     (0x3000, 0x3000),
 )
 WHITESPACE = "".join(chr(c) for low, high in _SPACE_RANGES for c in range(low, high + 1))
-_SPACE_CLASS = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in _SPACE_RANGES)
-# A lone blank already is what a run collapses to, so it is left alone.
-_SPACE_RUN = f"[{_SPACE_CLASS}]{{2,}}|[{_SPACE_CLASS}&&[^ ]]"
+_SPACE_RUN = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in _SPACE_RANGES) + "]+"
 
 # Texts of a setting that mean "on".
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 
 
+# The rules below name their input as few times as they can: a filter on a rule's result is
+# pushed down as an expression, and every mention copies the whole input into it.
+
+
 def py_strip(c: Column) -> Column:
     """Remove whitespace of every kind from both ends (``trim`` knows only U+0020)."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -38,18 +40,19 @@ def py_strip(c: Column) -> Column:
 
 def fill_na(c: Column) -> Column:
     """Null, and cells that are a missing-value token as a whole, become ``""``."""
-    return F.when(c.isNull() | c.isin(*NA_TOKENS), F.lit("")).otherwise(c)
+    return F.coalesce(F.when(~c.isin(*NA_TOKENS), c), F.lit(""))
 
 
-def normalize_campaign(c: Column) -> Column:
+def normalize_campaign(c: Column, stripped: bool = False) -> Column:
     """Strip, drop one closing comma, then collapse whitespace runs, in that order."""
-    stripped = py_strip(F.coalesce(c, F.lit("")))
-    return F.regexp_replace(F.regexp_replace(stripped, r",\z", ""), _SPACE_RUN, " ")
+    text = c if stripped else py_strip(F.coalesce(c, F.lit("")))
+    return F.regexp_replace(F.regexp_replace(text, r",\z", ""), _SPACE_RUN, " ")
 
 
-def normalize_job(c: Column) -> Column:
+def normalize_job(c: Column, stripped: bool = False) -> Column:
     """Strip, and undo the ``.0`` a whole number gains when read as a float."""
-    return F.regexp_replace(py_strip(F.coalesce(c, F.lit(""))), r"^([0-9]*)[.]0\z", "$1")
+    text = c if stripped else py_strip(F.coalesce(c, F.lit("")))
+    return F.regexp_replace(text, r"^([0-9]*)[.]0\z", "$1")
 
 
 def parent_title(campaign: Column, job: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookwright import schema as S
@@ -64,21 +64,21 @@ def preview(df: DataFrame, n: int = 30) -> DataFrame:
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """One projection from report columns to the normalised booking columns."""
-
-    def cell(name: str) -> Column:
-        return fill_na(F.col(name))
-
-    return raw.select(
-        F.col("report_id"),
-        normalize_campaign(cell("CampaignName")).alias("campaign_name"),
-        normalize_job(cell("JobNumber")).alias("job_number"),
-        py_strip(cell("OurRef")).alias("our_ref"),
-        py_strip(cell("PropertyName")).alias("property_name"),
-        py_strip(cell("LocationText")).alias("location_text"),
-        py_strip(cell("SpecificationText")).alias("specification_text"),
-        py_strip(cell("StartDate")).alias("start_date_raw"),
-        F.col("row_ord"),
+    """Report columns to the normalised booking columns, in two projections.
+
+    The second works on stripped columns, so that no rule strips a cell again for each use.
+    """
+    stripped = raw.select("report_id", *(py_strip(fill_na(F.col(c))).alias(c) for c in S.REQUIRED_COLUMNS), "row_ord")
+    return stripped.select(
+        "report_id",
+        normalize_campaign(F.col("CampaignName"), stripped=True).alias("campaign_name"),
+        normalize_job(F.col("JobNumber"), stripped=True).alias("job_number"),
+        F.col("OurRef").alias("our_ref"),
+        F.col("PropertyName").alias("property_name"),
+        F.col("LocationText").alias("location_text"),
+        F.col("SpecificationText").alias("specification_text"),
+        F.col("StartDate").alias("start_date_raw"),
+        "row_ord",
     )
 
 
@@ -127,29 +127,57 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The whole first row of every key.
 
     The limit on the rank reaches the map side: each task keeps one row per key before the
-    shuffle, so a key that holds a third of all rows sends one row per task.
+    shuffle, so a key that holds a third of all rows sends one row per task. The hash in front
+    of the keys decides nothing; it lets the sorts compare one number instead of several texts.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
-
+    order_in_key = Window.partitionBy("_hash", *keys).orderBy(order)
+    ranked = df.withColumn("_hash", F.xxhash64(*keys)).withColumn("_rank", F.row_number().over(order_in_key))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank", "_hash")
 
-def source_children(bookings: DataFrame, date_policy: str = "batch", pivot_year: int | None = None) -> DataFrame:
-    """First row per campaign, job and reference; all other columns come from that row.
 
-    ``child_ord`` orders the children of a parent: the section, then the row order.
-    """
-    first = first_per_key(_keyed(bookings).filter(F.col("our_ref") != ""), S.CHILD_KEY, "row_ord")
+def _as_children(rows: DataFrame) -> DataFrame:
     columns = (F.col(c) for c in ("our_ref", "property_name", "location_text", "specification_text"))
-    return first.select(
+    return rows.select(
         *S.CHILD_KEY,
         child_title(*columns).alias("subtask_name"),
         "start_date_raw",
-        due_date(F.col("start_date_raw"), date_policy, pivot_year).alias("due"),
+        "due",
         F.lit(S.KIND_SOURCE).alias("subtask_kind"),
         F.struct(F.lit(0).alias("section"), F.col("row_ord").alias("row_ord")).alias("child_ord"),
     )
 
 
+def source_children(bookings: DataFrame, date_policy: str = "batch", pivot_year: int | None = None) -> DataFrame:
+    """First row per campaign, job and reference; all other columns come from that row.
+
+    ``child_ord`` orders the children of a parent: the section, then the row order.
+    """
+    first = first_per_key(_keyed(bookings).filter(F.col("our_ref") != ""), S.CHILD_KEY, "row_ord")
+    return _as_children(first.withColumn("due", due_date(F.col("start_date_raw"), date_policy, pivot_year, stripped=True)))
+
+
+def first_rows(bookings: DataFrame, date_policy: str = "batch", pivot_year: int | None = None) -> DataFrame:
+    """What candidates and children are both made of, from one shuffle.
+
+    As ``source_children``, but rows without a reference are kept, one per parent and with no
+    date, because they too prove that the parent is there.
+    """
+    first = first_per_key(_keyed(bookings), S.CHILD_KEY, "row_ord")
+    due = due_date(F.col("start_date_raw"), date_policy, pivot_year, stripped=True)
+    return first.withColumn("due", F.when(F.col("our_ref") != "", due))
+
+
+def children_of(first: DataFrame) -> DataFrame:
+    """The source children among ``first_rows``."""
+    return _as_children(first.filter(F.col("our_ref") != ""))
+
+
+def parents_of(first: DataFrame) -> DataFrame:
+    """The candidates among ``first_rows``, with their earliest date."""
+    rows = first.groupBy(*S.PARENT_KEY).agg(F.min("due").alias("earliest"))
+    return rows.withColumn("task_name", parent_title(F.col("campaign_name"), F.col("job_number")))
+
+
 def jobs_to_check(parents: DataFrame) -> DataFrame:
     """The distinct job numbers, over all reports."""
     return parents.select("job_number").distinct()

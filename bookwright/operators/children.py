@@ -83,9 +83,13 @@ def in_child_order(children: DataFrame) -> DataFrame:
     return children.orderBy(*S.PARENT_KEY, "child_ord")
 
 
-def parent_due(parents: DataFrame, earliest: DataFrame, rules: Sequence[ControlRule] = DEFAULT_RULES) -> DataFrame:
-    """Due date of every parent as text: that of the rule which sets it, else the earliest date."""
+def due_from_earliest(earliest: Column, rules: Sequence[ControlRule] = DEFAULT_RULES) -> Column:
+    """Due date of a parent as text: that of the rule which sets it, else the earliest date."""
     leading = next((rule for rule in rules if rule.sets_parent_due), None)
-    due = F.col("earliest") if leading is None else leading.due(F.col("earliest"))
+    return iso_text(earliest if leading is None else leading.due(earliest))
+
+
+def parent_due(parents: DataFrame, earliest: DataFrame, rules: Sequence[ControlRule] = DEFAULT_RULES) -> DataFrame:
+    """``parent_due_on`` of every parent; ``""`` where no child has a date."""
     joined = parents.select(*S.PARENT_KEY).join(earliest, list(S.PARENT_KEY), "left")
-    return joined.select(*S.PARENT_KEY, iso_text(due).alias("parent_due_on"))
+    return joined.select(*S.PARENT_KEY, due_from_earliest(F.col("earliest"), rules).alias("parent_due_on"))

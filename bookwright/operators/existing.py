@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,41 +15,38 @@ PROBE_MAX_JOBS = 50_000
 PROBE_MAX_CHARS = 64
 
 
-def name_pieces(jobs: DataFrame, names: DataFrame) -> DataFrame:
+def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """Every piece of a name that is as long as some job.
 
     A job is a substring of a name exactly when it equals one of these pieces, so the search
     needs neither a nested loop nor a check of candidates, and no piece can be hot: equal
     pieces collapse. The work is (characters in names) x (distinct job lengths).
     """
-    # One row with one number per distinct length; a length no name reaches yields no piece.
-    lengths = jobs.select(F.length("job_number").alias("n")).distinct().agg(F.collect_set("n").alias("ns"))
     start = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    cut = start.select("name", "at", F.explode(lengths.scalar()).alias("n"))
+    cut = start.select("name", "at", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n"))
     inside = cut.filter(F.col("at") + F.col("n") - 1 <= F.length("name"))
     return inside.select(F.substring(F.col("name"), F.col("at"), F.col("n")).alias("job_number"))
 
 
-def _probe_fits(jobs: DataFrame) -> bool:
-    """Whether the jobs are few and short enough to broadcast; looks at no more rows than the bound."""
-    head = jobs.limit(PROBE_MAX_JOBS + 1)
-    size = head.agg(F.count("*").alias("n"), F.max(F.length("job_number")).alias("longest")).first()
-    return size["n"] <= PROBE_MAX_JOBS and (size["longest"] or 0) <= PROBE_MAX_CHARS
-
-
 def existing_jobs(jobs: DataFrame, tasks: DataFrame, method: str = "auto") -> DataFrame:
     """The jobs that some task name contains, case-sensitively; ``jobs`` must be distinct.
 
-    ``probe`` looks every piece up in the broadcast jobs and shuffles only hits; ``kgram``
-    shuffles the distinct pieces to the jobs; ``auto`` measures the jobs and picks.
+    One aggregate measures the jobs first: how many, and which lengths occur. ``probe`` then
+    looks every piece up in the broadcast jobs and shuffles only hits; ``kgram`` shuffles the
+    distinct pieces to the jobs; ``auto`` picks by the measure.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     jobs = jobs.select("job_number").filter(F.col("job_number") != "")
     names = tasks.select("name").filter(F.col("name") != "")
+    # The lengths are whole numbers no larger than the longest job, so the set stays small.
+    size = jobs.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("job_number"))).alias("lengths")).first()
+    if size["n"] == 0:
+        return jobs
     if method == "auto":
-        method = "probe" if _probe_fits(jobs) else "kgram"
-    pieces = name_pieces(jobs, names)
+        fits = size["n"] <= PROBE_MAX_JOBS and size["lengths"][-1] <= PROBE_MAX_CHARS
+        method = "probe" if fits else "kgram"
+    pieces = name_pieces(names, size["lengths"])
     if method == "probe":
         return pieces.join(F.broadcast(jobs), "job_number").distinct()
     return jobs.join(pieces.distinct(), "job_number", "left_semi")

@@ -9,41 +9,45 @@ from bookwright import schema as S
 from bookwright.functions.dates import iso_text
 
 
-def parent_results(
-    parents: DataFrame,
-    existing: DataFrame,
-    due: DataFrame | None = None,
-    policy: str = "batch",
-    target_project_gid: str = "",
-) -> DataFrame:
-    """Status of every candidate.
+def _looked_up(parents: DataFrame, existing: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Parents with their status and its reason.
 
-    Both lookups have one row per key, so the join is the size of the candidates. A job that
+    ``existing`` has one row per job, so the join keeps the size of the candidates. A job that
     many reports share makes a skewed partition, which AQE splits.
     """
     found = existing.select("job_number", F.lit(True).alias("_exists"))
-    rows = parents.join(found, "job_number", "left")
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     status = F.when(exists, S.SKIP_EXISTS).otherwise(S.WOULD_CREATE).alias("status")
     reason = F.when(exists, S.REASON_EXISTS).otherwise(S.REASON_NEW).alias("reason")
+    return parents.join(found, "job_number", "left"), status, reason
+
+
+def parent_status(dated: DataFrame, existing: DataFrame) -> DataFrame:
+    """Batch results of candidates that already carry ``parent_due_on``."""
+    rows, status, reason = _looked_up(dated, existing)
+    gid = F.lit("").alias("parent_task_gid")
+    return rows.select("report_id", *S.PARENT_COLUMNS[:4], status, reason, gid)
+
+
+def parent_results(
+    parents: DataFrame,
+    existing: DataFrame,
+    due: DataFrame | None = None,
+    policy: str = "batch",
+    target_project_gid: str = "",
+) -> DataFrame:
+    """Status of every candidate; ``due`` has the ``parent_due_on`` of each, where it is wanted."""
     if policy == "interactive":
+        rows, status, reason = _looked_up(parents, existing)
         target = F.lit(target_project_gid.strip()).alias("target_project_gid")
         return rows.select("report_id", *S.PARENT_COLUMNS_INTERACTIVE[:3], status, reason, target)
     if policy != "batch":
         raise ValueError(f"unknown policy {policy!r}")
     if due is None:
-        due_text: Column = F.lit("")
+        dated = parents.withColumn("parent_due_on", F.lit(""))
     else:
-        rows = rows.join(due, list(S.PARENT_KEY), "left")
-        due_text = F.coalesce(F.col("parent_due_on"), F.lit(""))
-    return rows.select(
-        "report_id",
-        *S.PARENT_COLUMNS[:3],
-        due_text.alias("parent_due_on"),
-        status,
-        reason,
-        F.lit("").alias("parent_task_gid"),
-    )
+        dated = parents.join(due, list(S.PARENT_KEY), "left").na.fill("", ["parent_due_on"])
+    return parent_status(dated, existing)
 
 
 def join_children(parent_rows: DataFrame, children: DataFrame, *columns: str) -> DataFrame:

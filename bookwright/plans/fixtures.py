@@ -28,6 +28,9 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"
     )
+    # The join with the orders needs this partitioning anyway; where they are broadcast instead,
+    # it keeps a file of one row group from becoming one task.
+    lines = lines.repartition("l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")

@@ -21,7 +21,7 @@ from bookwright.operators import outcomes as O
 from bookwright.operators import results as R
 from bookwright.plans import fixtures as V
 from bookwright.plans.reconcile import Run, dry_run, interactive_run, with_source_facts
-from bookwright.session import scratch_path
+from bookwright.session import materialise, scratch_path
 from bookwright.sinks.tables import CSV_OPTIONS, write_intents, write_results
 from bookwright.sources.reports import read_reports, report_conformance
 from bookwright.sources.tasks import read_task_pages
@@ -383,23 +383,27 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def existing_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return X.existing_jobs(_jobs(spark, sf), _tasks(spark, sf))
+    return X.existing_jobs(materialise(_jobs(spark, sf), "jobs"), _tasks(spark, sf))
 
 
 @query
 def existing_jobs_kgram(spark: SparkSession, sf: str) -> DataFrame:
-    return X.existing_jobs(_jobs(spark, sf), _tasks(spark, sf), "kgram")
+    return X.existing_jobs(materialise(_jobs(spark, sf), "jobs"), _tasks(spark, sf), "kgram")
 
 
 @query
 def new_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = _jobs(spark, sf)
+    jobs = materialise(_jobs(spark, sf), "jobs")
     return X.new_jobs(jobs, X.existing_jobs(jobs, _tasks(spark, sf)))
 
 
 @query
 def parent_results(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf).parents
+    bookings = _bookings(spark, sf)
+    candidates = B.parent_candidates(bookings)
+    earliest = C.earliest_due(B.source_children(bookings, "batch", PIVOT_YEAR))
+    existing = X.existing_jobs(B.jobs_to_check(candidates), _tasks(spark, sf))
+    return R.parent_results(candidates, existing, C.parent_due(candidates, earliest))
 
 
 @query

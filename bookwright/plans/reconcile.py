@@ -13,11 +13,12 @@ from bookwright.operators import bookings as B
 from bookwright.operators import children as C
 from bookwright.operators import existing as X
 from bookwright.operators import results as R
+from bookwright.session import materialise
 
 
 @dataclass(frozen=True)
 class Run:
-    """The frames of a dry run; nothing is computed until one of them is used."""
+    """The frames of a run. ``children`` and ``parents`` are what live mode goes on with."""
 
     bookings: DataFrame
     children: DataFrame
@@ -47,17 +48,22 @@ def dry_run(
 ) -> Run:
     """Reports and existing tasks to result tables.
 
-    The rows are normalised in one projection and shuffled once by campaign, job and reference
-    for the first-row rule; candidates, dates and controls come from partial aggregates.
+    The reports are shuffled once, by campaign, job and reference, for the first-row rule. The
+    rows left are written down; candidates, dates, jobs and children all read from there.
     """
     bookings = B.normalise(raw)
-    source = B.source_children(bookings, date_policy, pivot_year)
-    candidates = B.parent_candidates(bookings)
-    earliest = C.earliest_due(source)
-    order_type = source.schema["child_ord"].dataType["row_ord"].dataType.simpleString()
+    first = materialise(B.first_rows(bookings, date_policy, pivot_year), "first-rows")
+    source = B.children_of(first)
+    candidates = B.parents_of(first)
+    order_type = first.schema["row_ord"].dataType.simpleString()
+    earliest = candidates.select(*S.PARENT_KEY, "earliest").filter(F.col("earliest").isNotNull())
     children = C.all_children(source, C.control_children(earliest, rules, order_type))
-    existing = X.existing_jobs(B.jobs_to_check(candidates), tasks, method)
-    parents = R.parent_results(candidates, existing, C.parent_due(candidates, earliest, rules))
+
+    jobs = materialise(B.jobs_to_check(first), "jobs")
+    existing = X.existing_jobs(jobs, tasks, method)
+    due = C.due_from_earliest(F.col("earliest"), rules)
+    dated = candidates.withColumn("parent_due_on", due)
+    parents = materialise(R.parent_status(dated, existing), "parents")
     child_rows = R.child_results(parents, children)
     return Run(bookings, children, parents, child_rows, B.unmatched_items(bookings))
 
@@ -83,11 +89,3 @@ def with_source_facts(summary: DataFrame, attachments: DataFrame, projects: Data
     )
     facts = attachments.select("report_id", "subject", "message_id", "received_at", "filename")
     return summary.join(facts, "report_id", "left").join(listed, "report_id", "left")
-
-
-def result_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select("report_id", *columns)
-
-
-PARENT_TABLE = S.PARENT_COLUMNS
-CHILD_TABLE = S.CHILD_COLUMNS

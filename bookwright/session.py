@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "bookwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +29,7 @@ def build_session(app_name: str = "bookwright", master: str | None = None, **con
                 builder.config("spark.driver.host", "127.0.0.1")
                 .config("spark.driver.bindAddress", "127.0.0.1")
                 .config("spark.ui.enabled", "false")
+                .config("spark.ui.showConsoleProgress", "false")
             )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -60,3 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created or removed."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the shared folder, and read from there.
+
+    For a frame that several branches of a plan use: each then reads only its columns, the
+    sizes are known to the planner, and a lost executor costs no recomputation of the lineage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
