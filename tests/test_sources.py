@@ -1,0 +1,172 @@
+"""Report files with all their oddities, written byte by byte and read back."""
+
+from __future__ import annotations
+
+import csv
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from bookwright import schema as S
+from bookwright.sources import reports as P
+from bookwright.sources.tasks import read_task_pages
+
+HEAD = "\t".join(S.REQUIRED_COLUMNS)
+ROW = "Camp\t1\t2\tProp\tLoc\tSpec\t2025-01-02"
+
+
+def put(folder, name: str, content: str | bytes):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(content if isinstance(content, bytes) else content.encode())
+    return path
+
+
+def read(spark, folder, **options):
+    rows = P.read_reports(spark, str(folder), **options).orderBy("row_ord").collect()
+    return [(r.report_id, *(r[c] for c in S.REQUIRED_COLUMNS)) for r in rows]
+
+
+def statuses(spark, folder, **options):
+    return {r.report_id: r.status for r in P.profile_reports(spark, str(folder), **options).collect()}
+
+
+def test_one_plain_file_keeps_its_order(spark, tmp_path):
+    put(tmp_path, "day.tsv", "\n".join([HEAD, *(ROW.replace("\t2\t", f"\t{i}\t") for i in range(50))]))
+    assert [r[3] for r in read(spark, tmp_path)] == [str(i) for i in range(50)]
+
+
+def test_files_of_every_kind_together(spark, tmp_path):
+    comma = ",".join(S.REQUIRED_COLUMNS)
+    put(tmp_path, "a.TSV", f"{HEAD}\r\n{ROW}\r\n\r\n")
+    put(tmp_path, "b.csv", f"﻿{comma}\nC,1,2,\"P, \"\"q\"\"\",L,S,TBC\n")
+    put(tmp_path, "c.xls", f"{HEAD}\tUnnamed: 7\t\n{ROW}\tx\ty\n")
+    put(tmp_path, "d.tsv", f" StartDate \textra\t{HEAD.rsplit(chr(9), 1)[0]}\n2025-01-02\te\tCamp\t1\t2\tProp\tLoc\tSpec\n")
+    put(tmp_path, "e.tsv", f"{HEAD}\nCamp\t1\t2\n\t\t\t\t\t\t\n")
+    put(tmp_path, "report_id=f g/x.tsv", f"{HEAD}\n{ROW}\n")
+    plain = ("Camp", "1", "2", "Prop", "Loc", "Spec", "2025-01-02")
+    got = {}
+    for row in read(spark, tmp_path):
+        got.setdefault(row[0], []).append(row[1:])
+    assert got == {
+        "a": [plain],
+        "b": [("C", "1", "2", 'P, "q"', "L", "S", "TBC")],
+        "c": [plain],
+        "d": [plain],
+        "e": [("Camp", "1", "2", "", "", "", ""), ("",) * 7],
+        "f g": [plain],
+    }
+
+
+def test_encodings(spark, tmp_path):
+    put(tmp_path, "utf.tsv", f"{HEAD}\n{ROW.replace('Prop', 'é€')}\n")
+    put(tmp_path, "cp.tsv", f"{HEAD}\n{ROW.replace('Prop', 'é€')}\n".encode("cp1252"))
+    put(tmp_path, "latin.tsv", f"{HEAD}\n{ROW.replace('Prop', 'X')}\n".encode().replace(b"X", b"\xe9\x81 \x80"))
+    # Bytes that are fine as UTF-8 in one line decide together with the broken ones elsewhere.
+    put(tmp_path, "mixed.tsv", f"{HEAD}\n{ROW.replace('Prop', 'Á')}\n".encode() + ROW.replace("Prop", "é").encode("latin-1"))
+    everything = bytes(b for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    put(tmp_path, "all.tsv", f"{HEAD}\n".encode() + ROW.encode().replace(b"Prop", everything))
+    put(tmp_path, "bad.csv", f"{','.join(S.REQUIRED_COLUMNS)}\n".encode() + b"a,b,c,\xe9,e,f,g\n")
+    got = {}
+    for row in read(spark, tmp_path):
+        got.setdefault(row[0], []).append(row[4])
+    assert got == {
+        "utf": ["é€"],
+        "cp": ["é€"],
+        "latin": ["é\x81 \x80"],
+        "mixed": ["Á".encode().decode("latin-1"), "é"],
+        "all": [everything.decode("cp1252")],
+    }
+    assert statuses(spark, tmp_path)["bad"] == P.UNREADABLE
+
+
+def test_rejected_files_are_named(spark, tmp_path):
+    put(tmp_path, "ok.tsv", f"{HEAD}\n{ROW}\n")
+    put(tmp_path, "head_only.tsv", HEAD)
+    put(tmp_path, "long.tsv", f"{HEAD}\n{ROW}\n{ROW}\tmore\n")
+    put(tmp_path, "missing.tsv", HEAD.replace("OurRef", "ourref").replace("StartDate", "") + f"\n{ROW}\n")
+    put(tmp_path, "single.tsv", "just a note\nCamp,1\n")
+    put(tmp_path, "twice.tsv", f"{HEAD}\tOurRef \n{ROW}\t5\n")
+    put(tmp_path, "excel.xlsx", b"PK\x03\x04" + bytes(200))
+    put(tmp_path, "blank.tsv", "\n  \n")
+    put(tmp_path, "notes.txt", "hello")
+    assert statuses(spark, tmp_path) == {
+        "ok": P.OK,
+        "head_only": P.OK,
+        "long": P.LONG_ROW,
+        "missing": P.MISSING,
+        "single": P.SINGLE,
+        "twice": P.DUPLICATE,
+        "excel": P.EXCEL_BINARY,
+        "blank": P.NO_HEADER,
+        "notes": P.UNSUPPORTED,
+    }
+    missing = {r.report_id: r.missing for r in P.profile_reports(spark, str(tmp_path)).collect()}
+    assert missing["missing"] == ["OurRef", "StartDate"]
+    assert {r[0] for r in read(spark, tmp_path)} == {"ok"}
+
+
+def test_rows_above_the_header(spark, tmp_path):
+    put(tmp_path, "s.tsv", f"exported\n\n{HEAD}\n{ROW}\n")
+    put(tmp_path, "t.tsv", f'"a title\nover two lines"\nsecond\n{HEAD}\n{ROW}\n')
+    assert [r[0] for r in read(spark, tmp_path, skip_top_rows=2)] == ["s", "t"]
+    assert statuses(spark, tmp_path, skip_top_rows=2) == {"s": P.OK, "t": P.OK}
+
+
+def test_quotes_inside_a_cell_are_text(spark, tmp_path):
+    put(tmp_path, "q.tsv", f"{HEAD}\n{ROW.replace('Spec', '6' + chr(34) + ' screen')}\n{ROW}\n")
+    assert [r[6] for r in read(spark, tmp_path)] == ['6" screen', "Spec"]
+
+
+@pytest.mark.parametrize("piece", ["4KB", "128MB"])
+def test_quoted_line_breaks_over_many_pieces(spark, tmp_path, piece):
+    """Records put together from pieces equal what a whole-file reader gives."""
+    rng = random.Random(11)
+
+    def cell():
+        return "".join(rng.choice(["a", "b", "é", " ", '"', "\n", ",", "\t", "x\n\ny"]) for _ in range(rng.randrange(0, 9)))
+
+    rows = [[cell() for _ in range(7)] for _ in range(700)]
+    rows = [[f"c{i}", *row[1:]] for i, row in enumerate(rows)]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerows([S.REQUIRED_COLUMNS, *rows])
+    put(tmp_path, "m.csv", out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+    try:
+        got = [list(r[1:]) for r in read(spark, tmp_path)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == rows
+
+
+def test_a_large_file_is_split_and_stays_in_order(spark, tmp_path):
+    lines = [f"Camp\t{i}\t1\tProp\tLoc\tSpec\t" for i in range(5000)]
+    put(tmp_path, "big.tsv", "\n".join([HEAD, *lines]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16KB")
+    try:
+        df = P.read_reports(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 3
+        assert [r.JobNumber for r in df.orderBy("row_ord").collect()] == [str(i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_task_pages(spark, tmp_path):
+    put(tmp_path, "project_gid=007/p1.json", '{"data":[{"gid":"1","name":" a "},{"gid":"2","name":""},5,"x",{"gid":"3"}],"next_page":{"offset":"o"}}\n')
+    put(tmp_path, "project_gid=007/p2.json", '{"data":null,"next_page":null}\n{"data":[{"name":"a"},{"name":7}]}\n')
+    put(tmp_path, "project_gid=8/p1.json", '{"data":[{"name":"b \\"q\\""}]}\n')
+    rows = read_task_pages(spark, str(tmp_path)).collect()
+    assert sorted((r.project_gid, r.name) for r in rows) == [("007", "7"), ("007", "a"), ("007", "a"), ("8", 'b "q"')]
+
+
+def test_conformance_lists_missing_names_in_order(spark):
+    df = spark.createDataFrame([("a", ["StartDate", "JobNumber"]), ("b", list(S.REQUIRED_COLUMNS))], "report_id string, header array<string>")
+    assert [(r.report_id, r.missing) for r in P.report_conformance(df).collect()] == [
+        ("a", ["CampaignName", "OurRef", "PropertyName", "LocationText", "SpecificationText"])
+    ]
+    assert df.filter(F.size("header") == 7).count() == 1
