@@ -66,7 +66,9 @@ def flatten_parts(parts: DataFrame) -> DataFrame:
     )
     ensure_checkpoint_dir(parts.sparkSession)
     known = containers.checkpoint()
-    for _ in range(64):
+    # A chain is no longer than the containers of its message, and each round doubles its reach.
+    most = known.groupBy("message_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
         if known.filter(F.col("up").isNotNull()).isEmpty():
             break
         above = known.select(
