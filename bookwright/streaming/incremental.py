@@ -177,6 +177,7 @@ def run_incremental(
     # Only names and times are read here; the contents are read by the batch, in pieces.
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", reports_per_batch)
         .load(drop_dir)
