@@ -8,6 +8,7 @@ are told apart by size, the way people write dates.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,14 +100,18 @@ def _from_two(t: Column, pivot_year: int) -> Column:
     )
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Work a value out once and name it in ``use``, by way of an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _from_tokens(text: Column, pivot_year: int) -> Column:
-    cleaned = F.regexp_replace(F.lower(text), f"{_TIME_AT_END}|{_TIME_AT_START}", "")
-    cleaned = F.regexp_replace(F.regexp_replace(cleaned, _WEEKDAY, " "), _ORDINAL, "")
-    cleaned = F.regexp_replace(cleaned, r"^(\d\d)(\d\d)(\d\d)\z", "$1 $2 $3")
-    cleaned = F.trim(F.regexp_replace(cleaned, _TOKEN_GAP, " "))
-    numbers = F.transform(F.split(cleaned, " "), _token_number)
+    timeless = F.regexp_replace(F.lower(text), f"{_TIME_AT_END}|{_TIME_AT_START}", "")
+    words = F.regexp_replace(F.regexp_replace(timeless, _WEEKDAY, " "), _ORDINAL, "")
+    spaced = F.regexp_replace(words, r"^(\d\d)(\d\d)(\d\d)\z", "$1 $2 $3")
+    cleaned = F.trim(F.regexp_replace(spaced, _TOKEN_GAP, " "))
 
-    def resolve(t: Column) -> Column:
+    def by_count(t: Column) -> Column:
         alone = F.get(t, F.lit(0))
         return (
             F.when(F.exists(t, lambda n: n.isNull()), F.lit(None).cast("date"))
@@ -115,14 +120,17 @@ def _from_tokens(text: Column, pivot_year: int) -> Column:
             .when((F.size(t) == 1) & (alone >= _FOUR), _make(alone - _FOUR, F.lit(1), F.lit(1)))
         )
 
-    # Eight digits are year, month, day, or year, day, month where that is no date.
-    packed = F.regexp_extract(cleaned, r"^(\d{8})(?:\d{4}|\d{6})?\z", 1)
-    y, m, d = (F.substring(packed, i, n) for i, n in ((1, 4), (5, 2), (7, 2)))
-    # A one-element array names a value once for all its uses.
-    spread = F.get(F.transform(F.array(numbers), resolve), F.lit(0))
-    found = F.when(packed != "", F.coalesce(_make(y, m, d), _make(y, d, m))).otherwise(spread)
+    def resolve(s: Column) -> Column:
+        # Eight digits are year, month, day, or year, day, month where that is no date.
+        y, m, d = (F.substring(s, i, n) for i, n in ((1, 4), (5, 2), (7, 2)))
+        packed = s.rlike(r"^\d{8}(?:\d{4}|\d{6})?\z")
+        tokens = F.transform(F.split(s, " "), _token_number)
+        return F.when(packed, F.coalesce(_make(y, m, d), _make(y, d, m))).otherwise(_bind(tokens, by_count))
+
     low, high = F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")
-    return F.get(F.transform(F.array(found), lambda x: F.when(x.between(low, high), x)), F.lit(0))
+    found = _bind(_bind(cleaned, resolve), lambda x: F.when(x.between(low, high), x))
+    # A text without a digit is no date, whatever it says.
+    return F.when(text.rlike("[0-9]"), found)
 
 
 def due_date(c: Column, policy: str = "batch", pivot_year: int | None = None, stripped: bool = False) -> Column:

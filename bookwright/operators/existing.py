@@ -15,14 +15,20 @@ PROBE_MAX_JOBS = 50_000
 PROBE_MAX_CHARS = 64
 
 
-def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """Every piece of a name that is as long as some job.
+# More distinct first characters than this and names are not thinned out by them.
+MAX_FIRST_CHARS = 256
+
+
+def name_pieces(names: DataFrame, lengths: Sequence[int], firsts: Sequence[str] | None = None) -> DataFrame:
+    """Every piece of a name that is as long as some job, and starts as some job does.
 
     A job is a substring of a name exactly when it equals one of these pieces, so the search
     needs neither a nested loop nor a check of candidates, and no piece can be hot: equal
     pieces collapse. The work is (characters in names) x (distinct job lengths).
     """
     start = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    if firsts is not None and len(firsts) <= MAX_FIRST_CHARS:
+        start = start.filter(F.substring(F.col("name"), F.col("at"), F.lit(1)).isin(*firsts))
     cut = start.select("name", "at", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n"))
     inside = cut.filter(F.col("at") + F.col("n") - 1 <= F.length("name"))
     return inside.select(F.substring(F.col("name"), F.col("at"), F.col("n")).alias("job_number"))
@@ -31,22 +37,27 @@ def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
 def existing_jobs(jobs: DataFrame, tasks: DataFrame, method: str = "auto") -> DataFrame:
     """The jobs that some task name contains, case-sensitively; ``jobs`` must be distinct.
 
-    One aggregate measures the jobs first: how many, and which lengths occur. ``probe`` then
-    looks every piece up in the broadcast jobs and shuffles only hits; ``kgram`` shuffles the
-    distinct pieces to the jobs; ``auto`` picks by the measure.
+    One aggregate measures the jobs first: how many, which lengths and which first characters.
+    ``probe`` then looks every piece up in the broadcast jobs and shuffles only hits; ``kgram``
+    shuffles the distinct pieces to the jobs; ``auto`` picks by the measure.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
     jobs = jobs.select("job_number").filter(F.col("job_number") != "")
     names = tasks.select("name").filter(F.col("name") != "")
-    # The lengths are whole numbers no larger than the longest job, so the set stays small.
-    size = jobs.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("job_number"))).alias("lengths")).first()
+    # Lengths and first characters are few, however many jobs there are: whole numbers up to the
+    # longest job, and characters of the alphabet in use.
+    size = jobs.agg(
+        F.count("*").alias("n"),
+        F.sort_array(F.collect_set(F.length("job_number"))).alias("lengths"),
+        F.collect_set(F.left("job_number", F.lit(1))).alias("firsts"),
+    ).first()
     if size["n"] == 0:
         return jobs
     if method == "auto":
         fits = size["n"] <= PROBE_MAX_JOBS and size["lengths"][-1] <= PROBE_MAX_CHARS
         method = "probe" if fits else "kgram"
-    pieces = name_pieces(names, size["lengths"])
+    pieces = name_pieces(names, size["lengths"], size["firsts"])
     if method == "probe":
         return pieces.join(F.broadcast(jobs), "job_number").distinct()
     return jobs.join(pieces.distinct(), "job_number", "left_semi")

@@ -364,7 +364,7 @@ def all_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parent_due(spark: SparkSession, sf: str) -> DataFrame:
-    bookings = _bookings(spark, sf)
+    bookings = materialise(_bookings(spark, sf), "bookings")
     source = B.source_children(bookings, "batch", PIVOT_YEAR)
     return C.parent_due(B.parent_candidates(bookings), C.earliest_due(source))
 
@@ -399,10 +399,10 @@ def new_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parent_results(spark: SparkSession, sf: str) -> DataFrame:
-    bookings = _bookings(spark, sf)
+    bookings = materialise(_bookings(spark, sf), "bookings")
     candidates = B.parent_candidates(bookings)
     earliest = C.earliest_due(B.source_children(bookings, "batch", PIVOT_YEAR))
-    existing = X.existing_jobs(B.jobs_to_check(candidates), _tasks(spark, sf))
+    existing = X.existing_jobs(materialise(B.jobs_to_check(candidates), "jobs"), _tasks(spark, sf))
     return R.parent_results(candidates, existing, C.parent_due(candidates, earliest))
 
 

@@ -72,12 +72,11 @@ def interactive_run(
     raw: DataFrame, tasks: DataFrame, target_project_gid: str, pivot_year: int | None = None, method: str = "auto"
 ) -> tuple[DataFrame, DataFrame]:
     """Parent and child tables by the interactive rules: no control children, no parent dates."""
-    bookings = B.normalise(raw)
-    candidates = B.parent_candidates(bookings)
-    existing = X.existing_jobs(B.jobs_to_check(candidates), tasks, method)
-    parents = R.parent_results(candidates, existing, policy="interactive", target_project_gid=target_project_gid)
-    children = B.source_children(bookings, "interactive", pivot_year)
-    return parents, R.child_results(parents, children, "interactive")
+    first = materialise(B.first_rows(B.normalise(raw), "interactive", pivot_year), "first-rows")
+    jobs = materialise(B.jobs_to_check(first), "jobs")
+    existing = X.existing_jobs(jobs, tasks, method)
+    parents = R.parent_results(B.parents_of(first), existing, policy="interactive", target_project_gid=target_project_gid)
+    return parents, R.child_results(parents, B.children_of(first), "interactive")
 
 
 def with_source_facts(summary: DataFrame, attachments: DataFrame, projects: DataFrame) -> DataFrame:

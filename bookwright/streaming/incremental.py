@@ -20,7 +20,7 @@ from bookwright.operators.bookings import first_per_key
 from bookwright.operators.results import child_results
 from bookwright.plans.reconcile import dry_run
 from bookwright.sinks.tables import write_intents, write_results
-from bookwright.sources.reports import OK, profile_reports, read_reports, report_id_of
+from bookwright.sources.reports import OK, read_reports, report_id_of, survey_reports
 
 _TEXT_PARENT = ("report_id", *S.PARENT_COLUMNS)
 _PARENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _TEXT_PARENT])
@@ -130,10 +130,11 @@ def process_batch(spark: SparkSession, files: DataFrame, batch_id: int, ledger:
     paths = [row["path"] for row in files.select("path").collect()]
     if not paths:
         return
-    profile = profile_reports(spark, paths, settings.skip_top_rows).checkpoint()
+    survey = survey_reports(spark, paths, settings.skip_top_rows)
+    profile = survey.profile
     ledger.write(profile.filter(F.col("status") != OK).select("report_id", "file_path", "status", "missing"), "rejected", batch_id)
 
-    raw = read_reports(spark, paths, settings.skip_top_rows)
+    raw = read_reports(spark, paths, settings.skip_top_rows, survey)
     names = settings.tasks().select("project_gid", "name").unionByName(ledger.titles_before(batch_id))
     run = dry_run(raw, names, settings.pivot_year, settings.date_policy)
 
