@@ -58,11 +58,14 @@ def _make(year: Column, month: Column, day: Column) -> Column:
 
 
 def _token_number(token: Column) -> Column:
-    number = F.when(token.rlike(r"^\d{1,2}\z"), token.try_cast("int"))
-    number = number.when(token.rlike(r"^\d{4}\z"), token.try_cast("int") + _FOUR)
-    for index, names in enumerate(MONTHS, start=1):
-        number = number.when(token.isin(*names), F.lit(-index))
-    return number
+    names = F.split(F.lit(",".join(name for month in MONTHS for name in month)), ",")
+    short = F.split(F.lit(",".join(month[0] for month in MONTHS)), ",")
+    month = F.array_position(short, F.left(token, F.lit(3))).cast("int")
+    return (
+        F.when(token.rlike(r"^\d{1,2}\z"), token.try_cast("int"))
+        .when(token.rlike(r"^\d{4}\z"), token.try_cast("int") + _FOUR)
+        .when(F.array_contains(names, token), -month)
+    )
 
 
 def _full_year(token: Column, pivot_year: int) -> Column:
@@ -72,32 +75,27 @@ def _full_year(token: Column, pivot_year: int) -> Column:
     return F.when(token >= _FOUR, token - _FOUR).otherwise(near)
 
 
-def _from_three(t: Column, pivot_year: int) -> Column:
+def _year_month_day(t: Column) -> Column:
+    """Which of the tokens is the year, the month and the day, as an array in that order."""
     a, b, c = F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.get(t, F.lit(2))
-
-    def ymd(y: Column, m: Column, d: Column) -> Column:
-        return _make(_full_year(y, pivot_year), F.abs(m), d)
-
-    return (
-        F.when((a < 0) & (b > 31), ymd(b, a, c))
-        .when(a < 0, ymd(c, a, b))
-        .when((b < 0) & (a > 31), ymd(a, b, c))
-        .when(b < 0, ymd(c, b, a))
-        .when((c < 0) & (b > 31), ymd(b, c, a))
-        .when(c < 0, ymd(a, c, b))
-        .when((a > 31) & (c <= 12), ymd(a, c, b))
-        .when(a > 31, ymd(a, b, c))
-        .when((a > 12) | (b <= 12), ymd(c, b, a))
-        .otherwise(ymd(c, a, b))
-    )
-
-
-def _from_two(t: Column, pivot_year: int) -> Column:
-    a, b = F.get(t, F.lit(0)), F.get(t, F.lit(1))
     first = F.lit(1)
-    return F.when((a > 31) & (b <= 12), _make(_full_year(a, pivot_year), F.abs(b), first)).when(
-        (b > 31) & (a <= 12), _make(_full_year(b, pivot_year), F.abs(a), first)
+    three = (
+        F.when((a < 0) & (b > 31), F.array(b, a, c))
+        .when(a < 0, F.array(c, a, b))
+        .when((b < 0) & (a > 31), F.array(a, b, c))
+        .when(b < 0, F.array(c, b, a))
+        .when((c < 0) & (b > 31), F.array(b, c, a))
+        .when(c < 0, F.array(a, c, b))
+        .when((a > 31) & (c <= 12), F.array(a, c, b))
+        .when(a > 31, F.array(a, b, c))
+        .when((a > 12) | (b <= 12), F.array(c, b, a))
+        .otherwise(F.array(c, a, b))
     )
+    two = F.when((a > 31) & (b <= 12), F.array(a, b, first)).when((b > 31) & (a <= 12), F.array(b, a, first))
+    size = F.size(t)
+    one = F.when((size == 1) & (a >= _FOUR), F.array(a, first, first))
+    unknown = F.exists(t, lambda n: n.isNull())
+    return F.when(~unknown & (size == 3), three).when(~unknown & (size == 2), two).when(~unknown, one)
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -111,21 +109,17 @@ def _from_tokens(text: Column, pivot_year: int) -> Column:
     spaced = F.regexp_replace(words, r"^(\d\d)(\d\d)(\d\d)\z", "$1 $2 $3")
     cleaned = F.trim(F.regexp_replace(spaced, _TOKEN_GAP, " "))
 
-    def by_count(t: Column) -> Column:
-        alone = F.get(t, F.lit(0))
-        return (
-            F.when(F.exists(t, lambda n: n.isNull()), F.lit(None).cast("date"))
-            .when(F.size(t) == 3, _from_three(t, pivot_year))
-            .when(F.size(t) == 2, _from_two(t, pivot_year))
-            .when((F.size(t) == 1) & (alone >= _FOUR), _make(alone - _FOUR, F.lit(1), F.lit(1)))
-        )
+    def make(p: Column) -> Column:
+        year, month, day = (F.get(p, F.lit(i)) for i in range(3))
+        return _make(_full_year(year, pivot_year), F.abs(month), day)
 
     def resolve(s: Column) -> Column:
         # Eight digits are year, month, day, or year, day, month where that is no date.
         y, m, d = (F.substring(s, i, n) for i, n in ((1, 4), (5, 2), (7, 2)))
         packed = s.rlike(r"^\d{8}(?:\d{4}|\d{6})?\z")
         tokens = F.transform(F.split(s, " "), _token_number)
-        return F.when(packed, F.coalesce(_make(y, m, d), _make(y, d, m))).otherwise(_bind(tokens, by_count))
+        spread = _bind(_bind(tokens, _year_month_day), make)
+        return F.when(packed, F.coalesce(_make(y, m, d), _make(y, d, m))).otherwise(spread)
 
     low, high = F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")
     found = _bind(_bind(cleaned, resolve), lambda x: F.when(x.between(low, high), x))
