@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from bookwright.llm import pretokens
 from bookwright.llm.common import map_texts, text_or_empty
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
 _UP = {b: 0x100 + b for b in range(256)}
 _DOWN = {0x100 + b: b for b in range(256)}

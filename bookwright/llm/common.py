@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def text_or_empty(name: str = "text") -> Column:

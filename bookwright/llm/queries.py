@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, token_counts
+from bookwright.llm import byte_bpe, html_extract, outliers, packing, secret_ledger, token_counts
+from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 4096
+SEQUENCE = 1024
+END_ID = 2
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -44,7 +48,39 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through a new ledger."""
+    found = secret_ledger.scan_versions(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+    spans = F.coalesce("spans", F.array().cast(secret_ledger.SPANS))
+    return found.select(
+        "doc_id",
+        *(secret_ledger.count(spans, k).alias(f"n_{k}") for k in secret_ledger.BASE_KINDS),
+        F.sha2(secret_ledger.digest(secret_ledger.base_spans(spans)), 256).alias("base_sha256"),
+        secret_ledger.digest(spans).alias("spans"),
+    )
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query
+def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.quality(table(spark, sf_dir, "documents"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *base, "base_failed", "kept")
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack_documents(documents, TOKENIZER, SEQUENCE, END_ID, {"ids_crc32": F.crc32("ids")})

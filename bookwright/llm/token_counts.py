@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from bookwright.llm.common import map_texts, text_or_empty
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 MARK = "▁"
 _PRETOKEN = re.compile(" +[^ ]*")
