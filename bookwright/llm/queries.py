@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, html_extract, outliers, packing, secret_ledger, token_counts
+from bookwright.llm import byte_bpe, html_extract, line_join, outliers, packing, secret_ledger, token_counts
 from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,15 @@ def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return packing.pack_documents(documents, TOKENIZER, SEQUENCE, END_ID, {"ids_crc32": F.crc32("ids")})
+
+
+@query
+def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that line dedup drops from each document: repeats of an earlier line, exact or nearly so."""
+    documents = table(spark, sf_dir, "documents")
+    dropped = line_join.dropped_lines(documents)
+    return documents.select("doc_id").join(dropped, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+    )
