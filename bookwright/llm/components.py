@@ -1,7 +1,9 @@
-"""Connected components of links by alternating large and small stars."""
+"""Links among the members of buckets, and connected components of links."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,28 @@ def components(links: DataFrame) -> DataFrame:
         now = materialise(ups.filter(F.col("a") != F.col("b")).distinct(), "links")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Verified links (``a, b``) among the members of buckets (``bucket, id``), and ``id, root`` of the linked ones.
+
+    ``verify`` keeps the true ones of candidate pairs (``a, b``). A bucket's first member is compared with all
+    the others; then, of the rest, the next with those of other classes, until a bucket's members are of one
+    class or all compared. So no link between classes is lost, and a bucket of copies costs one comparison
+    per member; no bucket's pairs are listed.
+    """
+    links = members.sparkSession.createDataFrame([], members.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
+    now = members.select("bucket", "id", F.col("id").alias("root"))
+    while True:
+        first = now.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), "id").alias("lead"))
+        led = now.join(first, "bucket").filter(F.col("id") != F.col("lead.id"))
+        led = materialise(led.select("bucket", "id", "root", F.col("lead.id").alias("lead"), F.col("lead.root").alias("of")), "led")
+        pairs = led.filter(F.col("root") != F.col("of")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        links = materialise(links.union(verify(pairs).select("a", "b")).distinct(), "links")
+        roots = materialise(components(links), "roots")
+        rest = led.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        rest = materialise(rest, "rest")
+        several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
+        now = materialise(rest.join(several.select("bucket"), "bucket", "left_semi"), "members")
+        if now.isEmpty():
+            return links, roots

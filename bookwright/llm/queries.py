@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, html_extract, line_join, outliers, packing, secret_ledger, token_counts
+from bookwright.llm import byte_bpe, dart_minhash, html_extract, line_join, outliers, packing, secret_ledger, token_counts
 from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept")
 
 
+@query
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
