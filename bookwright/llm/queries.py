@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, dart_minhash, html_extract, line_join, outliers, packing, secret_ledger, token_counts
+from bookwright.llm import byte_bpe, dart_minhash, html_extract, impact_topk, line_join, outliers, packing, secret_ledger, token_counts
 from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 4096
 SEQUENCE = 1024
 END_ID = 2
+TOP_K = 20
+QUERY_EVERY = 20
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -92,6 +94,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, TOKENIZER, SEQUENCE, END_ID, {"ids_crc32": F.crc32("ids")})
 
 
+@query
+def op8_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, TOP_K)
+
+
 @query
 def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that line dedup drops from each document: repeats of an earlier line, exact or nearly so."""
