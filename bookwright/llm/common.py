@@ -29,7 +29,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Itera
         start, taken = stop, int(ends[stop - 1])
 
 
-def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable], most: int = SLICE_CHARS) -> DataFrame:
     """``make()`` runs once per task and returns a function of a run of rows that gives output columns.
 
     The function gets a ``RecordBatch`` and returns a dict of lists or arrays in the order of ``schema``.
@@ -38,7 +38,7 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 fn = fn or make()
                 yield pa.RecordBatch.from_pydict(fn(part))
 

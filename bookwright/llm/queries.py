@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, dart_minhash, html_extract, impact_topk, line_join, outliers, packing, secret_ledger, token_counts
+from bookwright.llm import byte_bpe, dart_minhash, gated_lm, html_extract, impact_topk, line_join, outliers, packing, secret_ledger, token_counts
 from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,8 @@ def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
     )
+
+
+@query
+def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.scores(table(spark, sf_dir, "documents"))
