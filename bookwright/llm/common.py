@@ -17,6 +17,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_key(name: str = "text") -> Column:
+    """Tells rows apart that share an id but not the text."""
+    return F.xxhash64(text_or_empty(name)).alias("text_key")
+
+
+def same_row(left: DataFrame, right: DataFrame, id_col: str, key: str = "_key") -> Column:
+    """Rows of one id (null too) and text; ``right`` has ``doc_id`` and ``text_key``."""
+    return left[id_col].eqNullSafe(right["doc_id"]) & (left[key] == right["text_key"])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; a longer text is a run of its own."""
     if batch.num_rows == 0:

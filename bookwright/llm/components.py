@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookwright.session import materialise
 
+MORE = 4
+
 
 def _toward_least(links: DataFrame) -> DataFrame:
     """Joins each ``a`` to the least of itself and its neighbours ``b``; all of them get that neighbour."""
@@ -40,26 +42,34 @@ def components(links: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Verified links (``a, b``) among the members of buckets (``bucket, id``), and ``id, root`` of the linked ones.
+def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: tuple[int, int] = (0, 1)) -> tuple[DataFrame, DataFrame]:
+    """Verified links (``a, b``) among the members of buckets (``bucket, id, size``), and ``id, root`` of the linked ones.
 
-    ``verify`` keeps the true ones of candidate pairs (``a, b``). A bucket's first member is compared with all
-    the others; then, of the rest, the next with those of other classes, until a bucket's members are of one
-    class or all compared. So no link between classes is lost, and a bucket of copies costs one comparison
-    per member; no bucket's pairs are listed.
+    ``verify`` keeps the true ones of candidate pairs (``a, b``); pairs whose sizes have a lower ratio than ``least``
+    can't be true and aren't made. A bucket's first member is compared with all
+    the others; then, where members of several classes are left, the next ``MORE`` of them with those of other
+    classes, and so on with ever more, until a bucket's members are of one class or all compared. So no link
+    between classes is lost, a bucket of copies costs one comparison per member, and the rounds grow with
+    the logarithm of what is left.
     """
     links = members.sparkSession.createDataFrame([], members.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
-    now = members.select("bucket", "id", F.col("id").alias("root"))
+    now, leads = members.select("bucket", "id", "size", F.col("id").alias("root")), 1
     while True:
-        first = now.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), "id").alias("lead"))
-        led = now.join(first, "bucket").filter(F.col("id") != F.col("lead.id"))
-        led = materialise(led.select("bucket", "id", "root", F.col("lead.id").alias("lead"), F.col("lead.root").alias("of")), "led")
-        pairs = led.filter(F.col("root") != F.col("of")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        # Tasks hand on only the first members of each bucket that they hold.
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        first = now.withColumn("place", place).filter(F.col("place") <= leads)
+        first = first.select("bucket", F.col("id").alias("lead"), F.col("root").alias("of"), F.col("size").alias("other"))
+        first = materialise(first, "leads")
+        sizes = F.least("size", "other") * least[1] >= F.greatest("size", "other") * least[0]
+        met = now.join(first, "bucket").filter((F.col("id") > F.col("lead")) & (F.col("root") != F.col("of")) & sizes)
+        pairs = met.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         links = materialise(links.union(verify(pairs).select("a", "b")).distinct(), "links")
         roots = materialise(components(links), "roots")
-        rest = led.select("bucket", "id").join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        rest = now.join(first.withColumnRenamed("lead", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
+        rest = rest.join(roots, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
         rest = materialise(rest, "rest")
         several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
         now = materialise(rest.join(several.select("bucket"), "bucket", "left_semi"), "members")
         if now.isEmpty():
             return links, roots
+        leads *= MORE
