@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookwright.llm.common import map_texts, text_or_empty
+from bookwright.llm.common import map_texts, text_key, text_or_empty
 from bookwright.session import materialise
 
 MIN_WORDS = 50
@@ -40,6 +40,7 @@ _MARKS = ".,!?;:"
 _DIM = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
 
+_KEYS = ("doc_id", "text_key", "lang", "source")
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 
 
@@ -81,19 +82,19 @@ def text_stats(text: str) -> tuple[int, ...]:
 
 
 def with_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang, source`` and the statistics of each whole text, one row per input row."""
+    """``doc_id, text_key, lang, source`` and the statistics of each whole text, one row per input row."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
-            rows = np.array([text_stats(t) for t in batch.column(3).to_pylist()], np.int64).reshape(-1, len(STATS))
-            return dict(zip(("doc_id", "lang", "source"), batch.columns[:3], strict=True)) | dict(zip(STATS, rows.T.copy(), strict=True))
+            rows = np.array([text_stats(t) for t in batch.column(4).to_pylist()], np.int64).reshape(-1, len(STATS))
+            return dict(zip(_KEYS, batch.columns[:4], strict=True)) | dict(zip(STATS, rows.T.copy(), strict=True))
 
         return fn
 
     group = [F.coalesce(df[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    texts = df.select(df[id_col].alias("doc_id"), *group, text_or_empty(text_col).alias("text"))
+    texts = df.select(df[id_col].alias("doc_id"), text_key(text_col), *group, text_or_empty(text_col).alias("text"))
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} bigint" for c in STATS)
+    schema = f"doc_id {id_type}, text_key bigint, lang string, source string, " + ", ".join(f"{c} bigint" for c in STATS)
     return map_texts(texts, "text", schema, make)
 
 
@@ -203,7 +204,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``distance`` and ``kept``, one row per input row.
+    """``doc_id, text_key``, the statistics, ``base_failed``, ``distance`` and ``kept``, one row per input row.
 
     Texts that fail a base rule are not kept and shape no estimate. The rest are kept unless their squared
     distance is beyond ``CUTOFF``. A language and source with fewer than ``MIN_GROUP`` such texts is judged
@@ -218,4 +219,4 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shape = estimates(rows.filter(~base_failed())).filter(F.col("total") >= MIN_GROUP)
     judged = rows.join(materialise(shape, "best"), "grp", "left").withColumn("distance", _distance())
     kept = ~base_failed() & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
-    return judged.select("doc_id", *STATS, base_failed().alias("base_failed"), "distance", kept.alias("kept"))
+    return judged.select("doc_id", "text_key", *STATS, base_failed().alias("base_failed"), "distance", kept.alias("kept"))

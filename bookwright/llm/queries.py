@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookwright.llm import byte_bpe, dart_minhash, gated_lm, html_extract, impact_topk, line_join, outliers, packing, secret_ledger, token_counts
+from bookwright.llm.common import same_row, text_key
 from bookwright.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +86,7 @@ def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dart_minhash.near_classes(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.select("doc_id", "class_id", "n_docs", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 @query
@@ -104,8 +105,9 @@ def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that line dedup drops from each document: repeats of an earlier line, exact or nearly so."""
     documents = table(spark, sf_dir, "documents")
     dropped = line_join.dropped_lines(documents)
-    return documents.select("doc_id").join(dropped, "doc_id", "left").select(
-        "doc_id",
+    rows = documents.select("doc_id", text_key().alias("_key"))
+    return rows.join(dropped, same_row(rows, dropped, "doc_id"), "left").select(
+        rows["doc_id"],
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
     )
