@@ -33,7 +33,8 @@ class ImpactIndex:
         # Accumulators are floating point, but hold whole numbers that they represent exactly.
         self.kind = np.float32 if bound < 2**23 else np.float64
         self.exact = bound < 2**52
-        self.segments: list[tuple[int, np.ndarray, np.ndarray]] = []  # impact, signed postings, norms of what is left
+        # Impact, signed postings, norms of what is left, and whether all digits of this worth are done.
+        self.segments: list[tuple[int, np.ndarray, np.ndarray, bool]] = []
         rest = vectors.copy()
         for step in STEPS if self.exact else ():
             digits = rest // step if step == 1 else (rest + step // 2) // step
@@ -41,7 +42,7 @@ class ImpactIndex:
                 posted = np.sign(digits) * (np.abs(digits) == size)
                 rest = rest - posted * (size * step)
                 left = np.sqrt((rest.astype(np.float64) ** 2).sum(axis=1))
-                self.segments.append((size * step, posted.astype(self.kind), left))
+                self.segments.append((size * step, posted.astype(self.kind), left, size == 1))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query positions, vector positions and scores of each query's ``k`` best, ties to the smaller id."""
@@ -50,10 +51,9 @@ class ImpactIndex:
         norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))[:, None]
         weights = queries.astype(self.kind)
         possible = ~own
-        for at, (impact, posted, left) in enumerate(self.segments):
+        for impact, posted, left, judge in self.segments:
             total += (weights * self.kind(impact)) @ posted.T
-            last = at + 1 == len(self.segments)
-            if not last and self.segments[at + 1][0] * 4 > impact and impact > STEPS[-1]:
+            if not judge:
                 continue  # the next segment still tells much
             slack = norms * left[None, :] + 1.0
             low = np.where(own, -np.inf, total - slack)
