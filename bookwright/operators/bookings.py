@@ -181,3 +181,8 @@ def parents_of(first: DataFrame) -> DataFrame:
 def jobs_to_check(parents: DataFrame) -> DataFrame:
     """The distinct job numbers, over all reports."""
     return parents.select("job_number").distinct()
+
+
+def report_jobs(parents: DataFrame) -> DataFrame:
+    """The distinct job numbers of each report."""
+    return parents.select("report_id", "job_number").distinct()

@@ -7,60 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METHODS = ("auto", "probe", "kgram")
 
-# Distinct jobs up to this many, none longer than PROBE_MAX_CHARS, are sent to every executor.
-# Their texts then take at most 50,000 x 64 characters, about 12 MB as UTF-8.
-PROBE_MAX_JOBS = 50_000
-PROBE_MAX_CHARS = 64
-
-
-# More distinct first characters than this and names are not thinned out by them.
-MAX_FIRST_CHARS = 256
-
-
-def name_pieces(names: DataFrame, lengths: Sequence[int], firsts: Sequence[str] | None = None) -> DataFrame:
-    """Every piece of a name that is as long as some job, and starts as some job does.
+def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """Every piece of a name that is as long as some job, with the name's other columns.
 
     A job is a substring of a name exactly when it equals one of these pieces, so the search
     needs neither a nested loop nor a check of candidates, and no piece can be hot: equal
-    pieces collapse. The work is (characters in names) x (distinct job lengths).
+    pieces collapse. The work is (characters in names) x (distinct job lengths); only starts
+    from which a piece fits are listed.
     """
-    start = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    if firsts is not None and len(firsts) <= MAX_FIRST_CHARS:
-        start = start.filter(F.substring(F.col("name"), F.col("at"), F.lit(1)).isin(*firsts))
-    cut = start.select("name", "at", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n"))
-    inside = cut.filter(F.col("at") + F.col("n") - 1 <= F.length("name"))
-    return inside.select(F.substring(F.col("name"), F.col("at"), F.col("n")).alias("job_number"))
+    others = [c for c in names.columns if c != "name"]
+    sized = names.select(*others, "name", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n"))
+    fits = sized.filter(F.col("n") <= F.char_length("name"))
+    starts = fits.select(*others, "name", "n", F.explode(F.sequence(F.lit(1), F.char_length("name") - F.col("n") + 1)).alias("at"))
+    return starts.select(*others, F.substring(F.col("name"), F.col("at"), F.col("n")).alias("job_number"))
 
 
-def existing_jobs(jobs: DataFrame, tasks: DataFrame, method: str = "auto") -> DataFrame:
+def existing_jobs(jobs: DataFrame, tasks: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """The jobs that some task name contains, case-sensitively; ``jobs`` must be distinct.
 
-    One aggregate measures the jobs first: how many, which lengths and which first characters.
-    ``probe`` then looks every piece up in the broadcast jobs and shuffles only hits; ``kgram``
-    shuffles the distinct pieces to the jobs; ``auto`` picks by the measure.
+    With ``projects`` (``report_id, project_gid``) a report's jobs are looked for in the tasks of
+    its own projects only; ``jobs`` and the result then have ``report_id, job_number``. The jobs
+    should be a written table, so that their size is known and the planner picks the join.
     """
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
-    jobs = jobs.select("job_number").filter(F.col("job_number") != "")
-    names = tasks.select("name").filter(F.col("name") != "")
-    # Lengths and first characters are few, however many jobs there are: whole numbers up to the
-    # longest job, and characters of the alphabet in use.
-    size = jobs.agg(
-        F.count("*").alias("n"),
-        F.sort_array(F.collect_set(F.length("job_number"))).alias("lengths"),
-        F.collect_set(F.left("job_number", F.lit(1))).alias("firsts"),
-    ).first()
-    if size["n"] == 0:
+    key = ["job_number"] if projects is None else ["report_id", "job_number"]
+    jobs = jobs.select(*key).filter(F.col("job_number") != "")
+    # The lengths are few, however many jobs there are: whole numbers up to the longest job.
+    lengths = jobs.agg(F.sort_array(F.collect_set(F.char_length("job_number")))).first()[0]
+    if not lengths:
         return jobs
-    if method == "auto":
-        fits = size["n"] <= PROBE_MAX_JOBS and size["lengths"][-1] <= PROBE_MAX_CHARS
-        method = "probe" if fits else "kgram"
-    pieces = name_pieces(names, size["lengths"], size["firsts"])
-    if method == "probe":
-        return pieces.join(F.broadcast(jobs), "job_number").distinct()
-    return jobs.join(pieces.distinct(), "job_number", "left_semi")
+    names = tasks.filter(F.col("name") != "")
+    if projects is None:
+        return jobs.join(name_pieces(names.select("name"), lengths).distinct(), "job_number", "left_semi")
+    searched = projects.select("report_id", "project_gid").distinct()
+    names = tasks_in_projects(names, searched).select("project_gid", "name")
+    wanted = jobs.join(searched, "report_id")
+    pieces = name_pieces(names, lengths).distinct()
+    return wanted.join(pieces, ["project_gid", "job_number"], "left_semi").select(*key).distinct()
 
 
 def new_jobs(jobs: DataFrame, existing: DataFrame) -> DataFrame:

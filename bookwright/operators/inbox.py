@@ -96,15 +96,18 @@ def latest_attachment(messages: DataFrame, parts: DataFrame, selected: DataFrame
     """One row per inbox: its first report attachment over newest message, then leaf order.
 
     ``selected`` are the messages that passed the predicate. Only the parts of the newest ones
-    are looked at. ``status`` tells an inbox without mail from one without a usable file.
+    are looked at. ``status`` tells an inbox without mail from one without a usable file. Where the
+    parts have ``data``, an attachment without content is passed over and the record has the content.
     """
     newest = latest_messages(selected, max_messages)
     wanted = parts.join(newest.select("message_id"), "message_id", "left_semi")
-    usable = flatten_parts(wanted).filter(is_report_attachment(F.col("filename"), F.col("att_id")))
+    data = F.col("data") if "data" in parts.columns else None
+    content = ["data"] if "data" in parts.columns else []
+    usable = flatten_parts(wanted).filter(is_report_attachment(F.col("filename"), F.col("att_id"), data))
     # The best leaf of a message comes first, so that the join carries one row per message.
     best_leaf = Window.partitionBy("message_id").orderBy(F.col("path").desc())
     per_message = usable.withColumn("_n", F.row_number().over(best_leaf)).filter(F.col("_n") == 1)
-    hits = newest.join(per_message.select("message_id", "filename", "att_id"), "message_id", "left")
+    hits = newest.join(per_message.select("message_id", "filename", "att_id", *content), "message_id", "left")
     # Messages with a usable file sort first; at most max_messages rows per inbox remain here.
     best = Window.partitionBy("inbox_id").orderBy(F.col("att_id").isNull(), "msg_rank")
     first = hits.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == 1)
@@ -123,4 +126,5 @@ def latest_attachment(messages: DataFrame, parts: DataFrame, selected: DataFrame
         only_found(F.col("att_id")).alias("att_id"),
         only_found(header_value(F.col("headers"), "subject")).alias("subject"),
         only_found(received_at(F.col("internal_date"))).alias("received_at"),
+        *(only_found(F.col(c)).alias(c) for c in content),
     )

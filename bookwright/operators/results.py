@@ -12,14 +12,16 @@ from bookwright.functions.dates import iso_text
 def _looked_up(parents: DataFrame, existing: DataFrame) -> tuple[DataFrame, Column, Column]:
     """Parents with their status and its reason.
 
-    ``existing`` has one row per job, so the join keeps the size of the candidates. A job that
-    many reports share makes a skewed partition, which AQE splits.
+    ``existing`` has one row per job, or per report and job where reports search projects of their
+    own, so the join keeps the size of the candidates. A job that many reports share makes a skewed
+    partition, which AQE splits.
     """
-    found = existing.select("job_number", F.lit(True).alias("_exists"))
+    key = [c for c in ("report_id", "job_number") if c in existing.columns]
+    found = existing.select(*key, F.lit(True).alias("_exists"))
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     status = F.when(exists, S.SKIP_EXISTS).otherwise(S.WOULD_CREATE).alias("status")
     reason = F.when(exists, S.REASON_EXISTS).otherwise(S.REASON_NEW).alias("reason")
-    return parents.join(found, "job_number", "left"), status, reason
+    return parents.join(found, key, "left"), status, reason
 
 
 def parent_status(dated: DataFrame, existing: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Inputs of the pipeline, derived by Spark from the given tables.
 
-Each view has a twin in ``oracle.py``. They grow with the tables: one report row per line item,
-one task per fifth order, one message per event, one feed per customer.
+Each view has a twin in ``oracle.py``. They grow with the tables: one report row per line item, one
+report per 150 customers, one task per order, one message per event, one feed per customer.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bookwright import schema as S
 
-REPORTS = 8
+REPORT_CUSTOMERS = 150
 EMPTY_PATH = "array<int>"
 
 
@@ -23,8 +23,12 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+def report_number(customer: Column) -> Column:
+    return F.floor(customer / REPORT_CUSTOMERS)
+
+
 def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report rows over eight reports, with missing keys, repeated references and mixed dates."""
+    """Report rows of many reports, with missing keys, repeated references and mixed dates."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"
     )
@@ -49,7 +53,7 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     row_ord = F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select(
-        F.concat(F.lit("r"), _text(F.col("o_custkey") % REPORTS)).alias("report_id"),
+        F.concat(F.lit("r"), _text(report_number(F.col("o_custkey")))).alias("report_id"),
         F.when(order % 17 == 0, "")
         .when(order % 29 == 0, "NA")
         .when(order % 2 == 1, F.concat(campaign, F.lit(", ")))
@@ -73,7 +77,7 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def existing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task names over three projects; some blank, none trimmed."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 == 0)
+    orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     name = F.concat(F.lit(" Done ("), _text(key * 7), F.lit(") v"), _text(F.col("o_custkey")))
     return orders.select(
@@ -86,10 +90,10 @@ def existing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tasks as response pages of at most a hundred entries, one JSON text per page.
 
-    A page covers five hundred order keys, of which every fifth is a task. Every page carries one
+    A page covers a hundred order keys. Every page carries one
     entry that is no object, and every seventh page a sibling without data.
     """
-    tasks = existing_tasks(spark, sf_dir).withColumn("page", F.floor(F.col("task_key") / 500))
+    tasks = existing_tasks(spark, sf_dir).withColumn("page", F.floor(F.col("task_key") / 100))
     entry = F.to_json(F.struct(_text(F.col("task_key")).alias("gid"), F.col("name").alias("name")))
     pages = tasks.groupBy("project_gid", "page").agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
     following = F.concat(F.lit('{"offset":"'), _text(F.col("page") + 1), F.lit('"}'))
@@ -161,7 +165,7 @@ def ack_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     gid = F.when(key % 11 == 0, "").otherwise(F.concat(F.lit("g"), _text(key)))
     wrapped = F.concat(F.lit('{"data":{"gid":"'), gid, F.lit('"}}'))
     bare = F.concat(F.lit('{"gid":"'), gid, F.lit('"}'))
-    return table(spark, sf_dir, "orders").filter(key % 13 != 0).select(
+    return table(spark, sf_dir, "orders").select(
         _text(key).alias("job_number"),
         F.when(key % 7 == 0, 429).otherwise(201).alias("code"),
         F.when(key % 7 == 0, failed).when(key % 2 == 0, wrapped).otherwise(bare).alias("body"),
@@ -186,8 +190,8 @@ def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Creation settings of the eight reports, taken from the customers that feed them."""
-    key = F.col("c_custkey") % REPORTS
+    """Creation settings of the reports, taken from the customers that feed them."""
+    key = report_number(F.col("c_custkey"))
     return (
         table(spark, sf_dir, "customer")
         .select(key.alias("n"))
@@ -210,3 +214,14 @@ def report_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     header = F.filter(F.array(*kept, F.lit("Extra")), lambda c: c.isNotNull())
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("h"), _text(key)).alias("report_id"), header.alias("header"))
+
+
+def search_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each report's jobs may already exist: listed projects, or the target project."""
+    n = report_number(F.col("c_custkey"))
+    listed = F.when(n % 4 == 0, "100, ,101").when(n % 4 == 1, " ").when(n % 4 == 2, " 102 ").otherwise("100,101,102")
+    return (
+        table(spark, sf_dir, "customer")
+        .select(F.concat(F.lit("r"), _text(n)).alias("report_id"), listed.alias("dedupe_ids"), F.lit(" 101").alias("target_project"))
+        .distinct()
+    )

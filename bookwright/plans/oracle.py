@@ -45,7 +45,7 @@ def _minus_weekdays(d: str, n: int) -> str:
 
 _RAW = """
 raw AS (
-  SELECT 'r' || (o_custkey % 8) AS report_id,
+  SELECT 'r' || (o_custkey // 150) AS report_id,
     CASE WHEN l_orderkey % 17 = 0 THEN '' WHEN l_orderkey % 29 = 0 THEN 'NA'
          WHEN l_orderkey % 2 = 1 THEN '  ' || c_mktsegment || '   ' || o_orderpriority || ', '
          ELSE '  ' || c_mktsegment || '   ' || o_orderpriority END AS "CampaignName",
@@ -116,18 +116,32 @@ _TASKS = f"""
 tasks AS (
   SELECT CAST(100 + o_custkey % 3 AS VARCHAR) AS project_gid,
     CASE WHEN o_orderkey % 35 = 0 THEN '' ELSE 'Done (' || (o_orderkey * 7) || ') v' || o_custkey END AS name
-  FROM orders WHERE o_orderkey % 5 = 0
+  FROM orders
 )"""
 
 # Jobs are digits here, so the runs of digits in the names hold every match; all their pieces
 # are listed once and compared as whole texts.
-_EXISTING = f"""{_TASKS},
-runs AS (SELECT DISTINCT unnest(regexp_extract_all(name, '[0-9]+')) AS run FROM tasks),
-starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
-pieces AS (SELECT DISTINCT substr(run, i, n) AS piece FROM (SELECT run, i, unnest(range(1, length(run) - i + 2)) AS n FROM starts)),
+_PIECES = f"""{_TASKS},
+runs AS (SELECT DISTINCT project_gid, unnest(regexp_extract_all(name, '[0-9]+')) AS run FROM tasks),
+starts AS (SELECT project_gid, run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+pieces AS (
+  SELECT DISTINCT project_gid, substr(run, i, n) AS piece
+  FROM (SELECT project_gid, run, i, unnest(range(1, length(run) - i + 2)) AS n FROM starts)
+)"""
+_EXISTING_ANYWHERE = f"""{_PIECES},
 existing AS (
   SELECT DISTINCT p.job_number FROM (SELECT DISTINCT job_number FROM parents) p JOIN pieces ON piece = p.job_number
 )"""
+_EXISTING = f"""{_PIECES},
+searched AS (
+  SELECT DISTINCT 'r' || n AS report_id, unnest(CASE n % 4 WHEN 0 THEN ['100', '101'] WHEN 1 THEN ['101']
+    WHEN 2 THEN ['102'] ELSE ['100', '101', '102'] END) AS project_gid
+  FROM (SELECT DISTINCT c_custkey // 150 AS n FROM customer)
+),
+existing AS (
+  SELECT DISTINCT p.report_id, p.job_number FROM (SELECT DISTINCT report_id, job_number FROM parents) p
+    JOIN searched USING (report_id) JOIN pieces ON piece = p.job_number AND pieces.project_gid = searched.project_gid
+)"""
 
 _PARENT_RESULTS = f"""{_CHILDREN},{_EXISTING},
 parent_rows AS (
@@ -136,7 +150,7 @@ parent_rows AS (
     CASE WHEN x.job_number IS NULL THEN '{S.WOULD_CREATE}' ELSE '{S.SKIP_EXISTS}' END AS status,
     CASE WHEN x.job_number IS NULL THEN '{S.REASON_NEW}' ELSE '{S.REASON_EXISTS}' END AS reason,
     '' AS parent_task_gid
-  FROM parents p LEFT JOIN existing x ON x.job_number = p.job_number
+  FROM parents p LEFT JOIN existing x ON x.job_number = p.job_number AND x.report_id = p.report_id
     LEFT JOIN earliest e ON e.report_id = p.report_id AND e.campaign_name = p.campaign_name AND e.job_number = p.job_number
 )"""
 
@@ -233,7 +247,7 @@ ack AS (
     CASE o_orderkey % 3 WHEN 0 THEN 'API error 429: quota' WHEN 1 THEN 'API error 429: {{"errors":[]}}'
       ELSE 'API error 429: <html>bad gateway</html>' END AS error,
     CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'g' || o_orderkey END AS gid
-  FROM orders WHERE o_orderkey % 13 <> 0
+  FROM orders
 )"""
 
 _OUTCOMES = f"""{_PARENT_RESULTS},{_ACK},
@@ -244,7 +258,7 @@ outcome AS (
     CASE WHEN p.status <> '{S.WOULD_CREATE}' OR a.job_number IS NULL THEN p.reason
       WHEN a.failed THEN a.error ELSE '{S.REASON_CREATED}' END AS reason,
     CASE WHEN p.status = '{S.WOULD_CREATE}' AND NOT a.failed THEN a.gid ELSE '' END AS parent_task_gid
-  FROM parent_rows p LEFT JOIN ack a ON a.job_number = p.job_number
+  FROM parent_rows p LEFT JOIN ack a ON a.job_number = p.job_number AND CAST(a.job_number AS BIGINT) % 13 <> 0
 )"""
 
 _CHILD_INTENTS = f"""{_OUTCOMES},
@@ -258,8 +272,8 @@ intents AS (
 
 _FEEDS = """
 feeds AS (
-  SELECT DISTINCT 'r' || (c_custkey % 8) AS report_id, CAST(600 + c_custkey % 8 AS VARCHAR) AS project_gid,
-    CASE WHEN c_custkey % 8 % 2 = 0 THEN '7' || (c_custkey % 8) ELSE '' END AS assignee
+  SELECT DISTINCT 'r' || (c_custkey // 150) AS report_id, CAST(600 + c_custkey // 150 AS VARCHAR) AS project_gid,
+    CASE WHEN c_custkey // 150 % 2 = 0 THEN '7' || (c_custkey // 150) ELSE '' END AS assignee
   FROM customer
 )"""
 
@@ -346,7 +360,7 @@ SELECT s.report_id,
   || 'Dedupe projects checked: 100, 101, 102' || chr(10) AS text
 FROM summary s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY received_at DESC, message_id) AS rn FROM (
-    SELECT 'r' || (CAST(substr(inbox_id, 2) AS BIGINT) % 8) AS report_id, subject, message_id, {received} AS received_at FROM messages
+    SELECT 'r' || (CAST(substr(inbox_id, 2) AS BIGINT) // 150) AS report_id, subject, message_id, {received} AS received_at FROM messages
   )
 ) m ON m.report_id = s.report_id AND m.rn = 1"""
 
@@ -360,7 +374,7 @@ def all_oracles() -> dict[str, str]:
     )
     received = f"""CASE message_id % 10 WHEN 0 THEN '' WHEN 1 THEN ''
       WHEN 2 THEN {_received("ms // 1000 * 1000")} ELSE {_received("ms")} END"""
-    existing = _with(f"{_PARENTS},{_EXISTING}", "SELECT job_number FROM existing")
+    existing = _with(f"{_PARENTS},{_EXISTING_ANYWHERE}", "SELECT job_number FROM existing")
     orders_back = {n: f"strftime({_minus_weekdays('d', n)}, '%Y-%m-%d') AS minus_{n}" for n in (0, 1, 4, 5, 11)}
     skipped = f"CASE WHEN p.status = '{S.SKIP_EXISTS}' THEN"
     ready = f"p.status = '{S.CREATED}' AND p.parent_task_gid <> ''"
@@ -452,8 +466,9 @@ FROM cfg""",
         "jobs_to_check": _with(_PARENTS, "SELECT DISTINCT job_number FROM parents ORDER BY 1"),
         "existing_jobs": existing,
         "existing_jobs_kgram": existing,
+        "existing_jobs_by_project": _with(f"{_PARENTS},{_EXISTING}", "SELECT report_id, job_number FROM existing"),
         "new_jobs": _with(
-            f"{_PARENTS},{_EXISTING}",
+            f"{_PARENTS},{_EXISTING_ANYWHERE}",
             "SELECT DISTINCT job_number FROM parents WHERE job_number NOT IN (SELECT job_number FROM existing)",
         ),
         "parent_results": _with(_PARENT_RESULTS, "SELECT * FROM parent_rows"),
@@ -468,7 +483,7 @@ FROM cfg""",
   c.job_number AS parent_job_number, CASE WHEN x.job_number IS NULL THEN '{S.WOULD_CREATE}' ELSE '{S.SKIP_EXISTS}' END AS parent_status,
   our_ref, subtask_name, {_iso('due')} AS subtask_due_on, start_date_raw,
   CASE WHEN x.job_number IS NULL THEN '{S.WOULD_CREATE}' ELSE '{S.PARENT_SKIP_EXISTS}' END AS subtask_status
-FROM source c LEFT JOIN existing x ON x.job_number = c.job_number""",
+FROM source c LEFT JOIN existing x ON x.job_number = c.job_number AND x.report_id = c.report_id""",
         ),
         "dedupe_projects": _with(
             _CONFIG,

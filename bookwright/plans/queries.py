@@ -62,7 +62,11 @@ def _tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf: str) -> Run:
-    return dry_run(V.bookings_raw(spark, sf), _tasks(spark, sf), PIVOT_YEAR)
+    return dry_run(V.bookings_raw(spark, sf), _tasks(spark, sf), PIVOT_YEAR, projects=_projects(spark, sf))
+
+
+def _projects(spark: SparkSession, sf: str) -> DataFrame:
+    return G.projects_to_check(V.search_config(spark, sf))
 
 
 def _child_table(df: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def read_reports_csv(spark: SparkSession, sf: str) -> DataFrame:
 def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "UTF-8") -> None:
     """Report files made of given lines, with the head lines above them.
 
-    A file holds one report's rows of at most a thousand orders, so no file grows with the data.
+    A file holds one report's rows of at most eight thousand order keys, so no file grows with the data.
     """
     key = ["report_id", "piece"]
     data = lines.select(*key, F.lit(len(head)).alias("at"), "line")
@@ -115,7 +119,7 @@ def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "
 
 def _tsv_lines(raw: DataFrame) -> DataFrame:
     line = F.concat_ws("\t", *(F.col(c) for c in S.REQUIRED_COLUMNS))
-    piece = F.floor(F.col("row_ord.l_orderkey") / (1000 * V.REPORTS))
+    piece = F.floor(F.col("row_ord.l_orderkey") / 8000)
     return raw.select("report_id", piece.alias("piece"), line.alias("line"))
 
 
@@ -364,9 +368,8 @@ def all_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parent_due(spark: SparkSession, sf: str) -> DataFrame:
-    bookings = materialise(_bookings(spark, sf), "bookings")
-    source = B.source_children(bookings, "batch", PIVOT_YEAR)
-    return C.parent_due(B.parent_candidates(bookings), C.earliest_due(source))
+    first = materialise(B.first_rows(_bookings(spark, sf), "batch", PIVOT_YEAR), "first-rows")
+    return C.parent_due(B.parents_of(first), C.earliest_due(B.children_of(first)))
 
 
 @query
@@ -388,7 +391,14 @@ def existing_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def existing_jobs_kgram(spark: SparkSession, sf: str) -> DataFrame:
-    return X.existing_jobs(materialise(_jobs(spark, sf), "jobs"), _tasks(spark, sf), "kgram")
+    """The same search under its earlier name."""
+    return existing_jobs(spark, sf)
+
+
+@query
+def existing_jobs_by_project(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = B.report_jobs(B.parent_candidates(_bookings(spark, sf)))
+    return X.existing_jobs(materialise(jobs, "jobs"), _tasks(spark, sf), _projects(spark, sf))
 
 
 @query
@@ -399,16 +409,12 @@ def new_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parent_results(spark: SparkSession, sf: str) -> DataFrame:
-    bookings = materialise(_bookings(spark, sf), "bookings")
-    candidates = B.parent_candidates(bookings)
-    earliest = C.earliest_due(B.source_children(bookings, "batch", PIVOT_YEAR))
-    existing = X.existing_jobs(materialise(B.jobs_to_check(candidates), "jobs"), _tasks(spark, sf))
-    return R.parent_results(candidates, existing, C.parent_due(candidates, earliest))
+    return _run(spark, sf).parents
 
 
 @query
 def parent_results_interactive(spark: SparkSession, sf: str) -> DataFrame:
-    return interactive_run(V.bookings_raw(spark, sf), _tasks(spark, sf), " 600 ", PIVOT_YEAR)[0]
+    return interactive_run(V.bookings_raw(spark, sf), _tasks(spark, sf), " 600 ", PIVOT_YEAR, _projects(spark, sf))[0]
 
 
 @query
@@ -418,7 +424,7 @@ def child_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def child_results_interactive(spark: SparkSession, sf: str) -> DataFrame:
-    rows = interactive_run(V.bookings_raw(spark, sf), _tasks(spark, sf), "600", PIVOT_YEAR)[1]
+    rows = interactive_run(V.bookings_raw(spark, sf), _tasks(spark, sf), "600", PIVOT_YEAR, _projects(spark, sf))[1]
     return rows.select("report_id", "campaign_name", *S.CHILD_COLUMNS_INTERACTIVE)
 
 
@@ -442,7 +448,7 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 def summary_text(spark: SparkSession, sf: str) -> DataFrame:
     """The summaries, with the newest message of the inboxes that feed each report as source."""
     messages = V.messages(spark, sf).select(
-        F.concat(F.lit("r"), (F.substring("inbox_id", 2, 20).cast("bigint") % V.REPORTS).cast("string")).alias("report_id"),
+        F.concat(F.lit("r"), V.report_number(F.substring("inbox_id", 2, 20).cast("bigint")).cast("string")).alias("report_id"),
         P.header_value(F.col("headers"), "subject").alias("subject"),
         "message_id",
         P.received_at(F.col("internal_date")).alias("received_at"),
@@ -463,7 +469,8 @@ def summary_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def _parent_acks(spark: SparkSession, sf: str, parents: DataFrame) -> DataFrame:
     waiting = parents.filter(F.col("status") == S.WOULD_CREATE).select(*S.PARENT_KEY)
-    answers = O.parse_acks(V.ack_bodies(spark, sf))
+    answered = V.ack_bodies(spark, sf).filter(F.col("job_number").cast("bigint") % 13 != 0)  # the others are still out
+    answers = O.parse_acks(answered)
     return waiting.join(answers, "job_number").select(*S.PARENT_KEY, "gid", "error")
 
 

@@ -44,10 +44,15 @@ def dry_run(
     pivot_year: int | None = None,
     date_policy: str = "batch",
     rules: Sequence[C.ControlRule] = C.DEFAULT_RULES,
-    method: str = "auto",
+    projects: DataFrame | None = None,
+    titles: DataFrame | None = None,
 ) -> Run:
     """Reports and existing tasks to result tables.
 
+    ``projects`` (``report_id, project_gid``, see ``projects_to_check``) says where a report's jobs may
+    already exist; without it they are looked for in all tasks. ``titles`` (``name``) are names that every
+    report takes for existing ones.
+
     The reports are shuffled once, by campaign, job and reference, for the first-row rule. The
     rows left are written down; candidates, dates, jobs and children all read from there.
     """
@@ -59,8 +64,7 @@ def dry_run(
     earliest = candidates.select(*S.PARENT_KEY, "earliest").filter(F.col("earliest").isNotNull())
     children = C.all_children(source, C.control_children(earliest, rules, order_type))
 
-    jobs = materialise(B.jobs_to_check(first), "jobs")
-    existing = X.existing_jobs(jobs, tasks, method)
+    existing = _existing(first, tasks, projects, titles)
     due = C.due_from_earliest(F.col("earliest"), rules)
     dated = candidates.withColumn("parent_due_on", due)
     parents = materialise(R.parent_status(dated, existing), "parents")
@@ -68,13 +72,27 @@ def dry_run(
     return Run(bookings, children, parents, child_rows, B.unmatched_items(bookings))
 
 
+def _existing(
+    first: DataFrame, tasks: DataFrame, projects: DataFrame | None, titles: DataFrame | None = None
+) -> DataFrame:
+    jobs = materialise(B.jobs_to_check(first) if projects is None else B.report_jobs(first), "jobs")
+    found = X.existing_jobs(jobs, tasks, projects)
+    if titles is None:
+        return found
+    named = X.existing_jobs(jobs.select("job_number").distinct(), titles)
+    return found.union(jobs.join(named, "job_number", "left_semi").select(*found.columns)).distinct()
+
+
 def interactive_run(
-    raw: DataFrame, tasks: DataFrame, target_project_gid: str, pivot_year: int | None = None, method: str = "auto"
+    raw: DataFrame,
+    tasks: DataFrame,
+    target_project_gid: str,
+    pivot_year: int | None = None,
+    projects: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parent and child tables by the interactive rules: no control children, no parent dates."""
     first = materialise(B.first_rows(B.normalise(raw), "interactive", pivot_year), "first-rows")
-    jobs = materialise(B.jobs_to_check(first), "jobs")
-    existing = X.existing_jobs(jobs, tasks, method)
+    existing = _existing(first, tasks, projects)
     parents = R.parent_results(B.parents_of(first), existing, policy="interactive", target_project_gid=target_project_gid)
     return parents, R.child_results(parents, B.children_of(first), "interactive")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ARCHIVE = "bookwright_package.zip"
+
+
 def build_session(app_name: str = "bookwright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine is designed around.
 
@@ -33,7 +38,25 @@ def build_session(app_name: str = "bookwright", master: str | None = None, **con
             )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, which import it by name; once per session.
+
+    Needed where it is not installed on them and no ``--py-files`` names it.
+    """
+    context = spark.sparkContext
+    if any(Path(name).name == _ARCHIVE for name in context.listFiles):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="bookwright-code-")) / _ARCHIVE  # Spark hands it out from here
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
 
 
 def shared_root(spark: SparkSession) -> str:

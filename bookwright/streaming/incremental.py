@@ -1,8 +1,10 @@
 """A drop folder processed report by report, each exactly once.
 
-The file source remembers which files it has handed out; a micro-batch counts as done only when
-its function returns. Everything a batch writes goes to a folder of its own that a replay
-overwrites, and the processed mark is written last.
+All files of a report that are there when a run starts are one arrival of it; a name that comes
+again later is another arrival. The file source remembers which files it has handed out; a
+micro-batch counts as done only when its function returns. A batch works through its arrivals in
+groups of whole reports, and the size of a group changes no result. Everything a group writes goes
+to folders of its own that a replay overwrites, and the processed mark is written last.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import types as T
 from bookwright import schema as S
 from bookwright.operators import outcomes as O
 from bookwright.operators.bookings import first_per_key
+from bookwright.operators.existing import name_pieces
 from bookwright.operators.results import child_results
 from bookwright.plans.reconcile import dry_run
+from bookwright.session import materialise
 from bookwright.sinks.tables import write_intents, write_results
 from bookwright.sources.reports import OK, read_reports, report_id_of, survey_reports
 
@@ -48,6 +52,8 @@ _CHILD_SCHEMA = T.StructType(
         ),
     ]
 )
+#: More groups than a micro-batch has; the number of a group is that of its batch times this, plus its own.
+_GROUPS = 1_000_000_000
 _PROCESSED_SCHEMA = T.StructType([T.StructField("report_id", T.StringType()), T.StructField("file_path", T.StringType())])
 
 
@@ -83,26 +89,49 @@ class Ledger:
         return self._read("processed", _PROCESSED_SCHEMA)
 
     def titles_before(self, batch_id: int) -> DataFrame:
-        """Titles that earlier batches asked to create; a replay does not see its own."""
+        """Titles that earlier groups asked to create; a replay does not see its own."""
         asked = self.parents().filter((F.col("batch_id") < batch_id) & (F.col("status") == S.WOULD_CREATE))
-        return asked.select(F.lit("").alias("project_gid"), F.col("task_name").alias("name"))
+        return asked.select(F.col("task_name").alias("name"))
 
+    def pivot_year(self, wanted: int | None) -> int:
+        """The year that two-digit years are near to: as set, or that of the first run."""
+        if wanted is not None:
+            return wanted
+        today = self.spark.range(1).select(F.year(F.current_date()).alias("year"))
+        today.write.mode("ignore").parquet(f"{self.root}/pivot_year")
+        return self.spark.read.parquet(f"{self.root}/pivot_year").first()["year"]
 
-def claim_once(parents: DataFrame, report_order: DataFrame) -> DataFrame:
-    """Of several reports that would create the same parent, only the earliest does.
 
-    ``report_order`` has ``report_id, arrived`` for the reports of one micro-batch, whose number
-    the source bounds, so it may be broadcast.
+def claim_in_order(parents: DataFrame, turns: DataFrame) -> DataFrame:
+    """Of the parents that reports would create, those that an earlier report's new title holds exist already.
+
+    ``turns`` has ``report_id, turn``. A title counts only if its own parent is created, so a parent is
+    decided once all the earlier titles that hold its job are; each round decides at least the
+    earliest report that is still open.
     """
-    waiting = parents.filter(F.col("status") == S.WOULD_CREATE).join(F.broadcast(report_order), "report_id")
-    ranked = waiting.select(*S.PARENT_KEY, F.struct("arrived", "report_id").alias("turn"))
-    winners = first_per_key(ranked, ("campaign_name", "job_number"), "turn").select(*S.PARENT_KEY, F.lit(True).alias("_won"))
-    rows = parents.join(winners, list(S.PARENT_KEY), "left")
-    lost = (F.col("status") == S.WOULD_CREATE) & F.col("_won").isNull()
+    named = parents.filter(F.col("status") == S.WOULD_CREATE).join(turns, "report_id")
+    waiting = materialise(named.select(F.xxhash64(*S.PARENT_KEY).alias("id"), "job_number", "task_name", "turn"), "waiting")
+    lengths = waiting.agg(F.sort_array(F.collect_set(F.char_length("job_number")))).first()[0]
+    if not lengths:
+        return parents
+    titles = waiting.select(F.col("id").alias("title"), F.col("turn").alias("earlier"), F.col("task_name").alias("name"))
+    held = name_pieces(titles, lengths).join(waiting.select("id", "job_number", "turn"), "job_number")
+    pairs = materialise(held.filter(F.col("earlier") < F.col("turn")).select("id", "title").distinct(), "held")
+    blocked = pairs.select("id", F.lit(True).alias("blocked")).distinct()
+    state = waiting.select("id").join(blocked, "id", "left").select("id", F.when(F.col("blocked").isNull(), True).alias("created"))
+    state = materialise(state, "claims")
+    while not state.filter(F.col("created").isNull()).isEmpty():
+        seen = pairs.join(state.withColumnRenamed("id", "title"), "title").groupBy("id")
+        seen = seen.agg(F.count_if("created").alias("live"), F.count_if(F.col("created").isNull()).alias("open"))
+        verdict = F.when(F.col("live") > 0, False).when(F.col("open") == 0, True)
+        state = materialise(state.join(seen, "id", "left").select("id", F.coalesce("created", verdict).alias("created")), "claims")
+    lost = state.filter(~F.col("created")).select("id", F.lit(True).alias("_lost"))
+    rows = parents.withColumn("id", F.xxhash64(*S.PARENT_KEY)).join(lost, "id", "left")
+    late = (F.col("status") == S.WOULD_CREATE) & F.col("_lost").isNotNull()
     return rows.withColumns(
         {
-            "status": F.when(lost, S.SKIP_EXISTS).otherwise(F.col("status")),
-            "reason": F.when(lost, S.REASON_EXISTS).otherwise(F.col("reason")),
+            "status": F.when(late, S.SKIP_EXISTS).otherwise(F.col("status")),
+            "reason": F.when(late, S.REASON_EXISTS).otherwise(F.col("reason")),
         }
     ).select(*parents.columns)
 
@@ -111,36 +140,59 @@ def claim_once(parents: DataFrame, report_order: DataFrame) -> DataFrame:
 class Settings:
     """What a run needs to know besides the reports.
 
-    ``tasks`` gives the existing task names when a batch starts. ``feeds`` has ``report_id,
-    workspace, project_gid, assignee``; without it no intents are written.
+    ``tasks`` gives the existing task names when a group starts. ``feeds`` has ``report_id,
+    workspace, project_gid, assignee``; without it no intents are written. ``projects`` has ``report_id,
+    project_gid``: where a report's jobs may exist; without it they may in all tasks.
     """
 
     tasks: Callable[[], DataFrame]
     feeds: Callable[[], DataFrame] | None = None
+    projects: Callable[[], DataFrame] | None = None
     skip_top_rows: int = 0
     pivot_year: int | None = None
     date_policy: str = "batch"
 
 
-def process_batch(spark: SparkSession, files: DataFrame, batch_id: int, ledger: Ledger, settings: Settings) -> None:
-    """One micro-batch: read, reconcile, write everything, then mark as processed.
+def arrivals(files: DataFrame, reports_per_group: int) -> list[dict[str, list[str]]]:
+    """The paths of each new report, in groups of whole reports by time of arrival.
 
-    ``files`` has ``path`` and ``modificationTime``. Their number is bounded by the source.
+    The files of a ``report_id=`` folder are one report, and any other file is one of its own. No group
+    holds a name twice. Paths alone come to the driver, as reading needs them there.
     """
-    paths = [row["path"] for row in files.select("path").collect()]
-    if not paths:
-        return
+    path = F.col("path")
+    folder = F.regexp_extract(path, r"^(.*/report_id=[^/]+)/", 1)
+    unit = F.when(folder != "", folder).otherwise(path)
+    whole = files.groupBy(report_id_of(path).alias("report_id"), unit.alias("unit")).agg(
+        F.min(F.struct("modificationTime", "path")).alias("arrived"), F.sort_array(F.collect_list("path")).alias("paths")
+    )
+    groups: list[dict[str, list[str]]] = [{}]
+    for row in sorted(whole.collect(), key=lambda r: r["arrived"]):
+        if len(groups[-1]) == reports_per_group or row["report_id"] in groups[-1]:
+            groups.append({})
+        groups[-1][row["report_id"]] = row["paths"]
+    return [g for g in groups if g]
+
+
+def process_group(spark: SparkSession, group: dict[str, list[str]], batch_id: int, ledger: Ledger, settings: Settings) -> None:
+    """Some whole reports: read, reconcile, write everything, then mark as processed."""
+    paths = [path for own in group.values() for path in own]
     survey = survey_reports(spark, paths, settings.skip_top_rows)
     profile = survey.profile
     ledger.write(profile.filter(F.col("status") != OK).select("report_id", "file_path", "status", "missing"), "rejected", batch_id)
 
     raw = read_reports(spark, paths, settings.skip_top_rows, survey)
-    names = settings.tasks().select("project_gid", "name").unionByName(ledger.titles_before(batch_id))
-    run = dry_run(raw, names, settings.pivot_year, settings.date_policy)
-
-    arrived = files.select(report_id_of(F.col("path")).alias("report_id"), "modificationTime", "path")
-    order = arrived.groupBy("report_id").agg(F.min(F.struct("modificationTime", "path")).alias("arrived"))
-    ledger.write(claim_once(run.parents, order), "parents", batch_id)
+    projects = settings.projects() if settings.projects else None
+    run = dry_run(
+        raw,
+        settings.tasks(),
+        ledger.pivot_year(settings.pivot_year),
+        settings.date_policy,
+        projects=projects,
+        titles=ledger.titles_before(batch_id),
+    )
+    turns = spark.createDataFrame(list(enumerate(group)), "turn int, report_id string")
+    claimed = claim_in_order(run.parents, turns) if len(group) > 1 else run.parents
+    ledger.write(claimed, "parents", batch_id)
     ledger.write(run.children, "children", batch_id)
 
     parents = spark.read.schema(_PARENT_SCHEMA).parquet(ledger.path("parents", batch_id))
@@ -150,12 +202,12 @@ def process_batch(spark: SparkSession, files: DataFrame, batch_id: int, ledger:
         "subtask_results": child_results(parents, children),
         "unmatched_items": run.unmatched,
     }
-    write_results(tables, f"{ledger.root}/results/batch_id={batch_id}", "overwrite")
+    done = profile.filter(F.col("status") == OK).select("report_id", "file_path")
+    write_results(tables, f"{ledger.root}/results/batch_id={batch_id}", "overwrite", done)
     if settings.feeds is not None:
         intents = O.parent_intents(parents, settings.feeds())
         write_intents(intents, f"{ledger.root}/parent_intents/batch_id={batch_id}", "overwrite")
 
-    done = profile.filter(F.col("status") == OK).select("report_id", "file_path")
     ledger.write(done, "processed", batch_id)
 
 
@@ -165,31 +217,28 @@ def run_incremental(
     checkpoint: str,
     out_dir: str,
     settings: Settings,
-    reports_per_batch: int = 1,
+    reports_per_batch: int = 16,
 ) -> Ledger:
     """Process what is new in the drop folder, then stop.
 
-    One report per batch is the reference order of things: every report sees the titles of all
-    earlier ones. More per batch is faster; then reports of a batch see each other only by equal
-    campaign and job.
+    Every report sees the titles of all that arrived before it, whatever ``reports_per_batch`` is.
     """
     ledger = Ledger(spark, out_dir.rstrip("/"))
     ledger.prepare()
-    # Only names and times are read here; the contents are read by the batch, in pieces.
+
+    def process(files: DataFrame, batch_id: int) -> None:
+        for n, group in enumerate(arrivals(files, reports_per_batch)):
+            process_group(spark, group, batch_id * _GROUPS + n, ledger, settings)
+
+    # Only names and times are read here; the contents are read by the groups, in pieces.
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", reports_per_batch)
         .load(drop_dir)
         .select("path", "modificationTime")
     )
-    stream = (
-        files.writeStream.foreachBatch(lambda df, batch_id: process_batch(spark, df, batch_id, ledger, settings))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    stream = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
     return ledger
 
@@ -206,10 +255,14 @@ def apply_acks(ledger: Ledger, parent_acks: DataFrame, child_acks: DataFrame) ->
 
     Child intents come from every acknowledged parent in the ledger, whichever run asked for it,
     so children are not lost when a run dies between a parent and its children. Answered children
-    are not asked for again.
+    are not asked for again. A report that came several times has a row per parent: that of the arrival
+    which asked for it, or else of the first; the children are those of the same arrival.
     """
-    parents = O.parent_outcomes(ledger.parents().drop("batch_id"), parent_acks)
-    children = ledger.children().drop("batch_id")
+    turn = F.struct((F.col("status") != S.WOULD_CREATE).alias("later"), "batch_id")
+    first = first_per_key(ledger.parents().withColumn("_turn", turn), S.PARENT_KEY, "_turn").drop("_turn")
+    parents = O.parent_outcomes(first.drop("batch_id"), parent_acks)
+    own = first.select(*S.PARENT_KEY, "batch_id")
+    children = ledger.children().join(own, [*S.PARENT_KEY, "batch_id"], "left_semi").drop("batch_id")
     key = [*S.CHILD_KEY, "subtask_name"]
     open_intents = O.child_intents(parents, children).join(child_acks.select(*key), key, "left_anti")
     return Outcome(parents, open_intents, O.child_outcomes(parents, children, child_acks))

@@ -93,14 +93,13 @@ def tasks(spark):
     return spark.createDataFrame([("1", n) for n in NAMES], "project_gid string, name string")
 
 
-@pytest.mark.parametrize("method", X.METHODS)
 @pytest.mark.parametrize("layout", ["as_is", "shuffled"])
-def test_dry_run_equals_the_model(spark, rows, tasks, method, layout):
+def test_dry_run_equals_the_model(spark, rows, tasks, layout):
     data = list(rows)
     if layout == "shuffled":
         random.Random(1).shuffle(data)
     raw = spark.createDataFrame(data, RAW).repartition(7 if layout == "shuffled" else 1)
-    run = dry_run(raw, tasks, 2026, method=method)
+    run = dry_run(raw, tasks, 2026)
     parents, children, unmatched = model(rows, NAMES)
     got = {(r.report_id, r.task_name, r.campaign_name, r.job_number, r.parent_due_on, r.status) for r in run.parents.collect()}
     assert got == parents
@@ -173,20 +172,31 @@ def test_existence_is_by_substring_and_exact(spark):
     task_df = spark.createDataFrame([("1", n) for n in names], "project_gid string, name string")
     want = {j for j in jobs if any(j in n for n in names)}
     assert want and want != set(jobs)
-    for method in X.METHODS:
-        found = X.existing_jobs(job_df, task_df, method)
-        assert {r[0] for r in found.collect()} == want
-        assert {r[0] for r in X.new_jobs(job_df, found).collect()} == set(jobs) - want
+    found = X.existing_jobs(job_df, task_df)
+    assert {r[0] for r in found.collect()} == want
+    assert {r[0] for r in X.new_jobs(job_df, found).collect()} == set(jobs) - want
     assert X.existing_jobs(job_df.limit(0), task_df).count() == 0
 
 
 def test_existence_needs_no_nested_loop(spark, tasks):
     jobs = spark.createDataFrame([("1",), ("12",)], "job_number string")
-    for method in X.METHODS:
-        plan = X.existing_jobs(jobs, tasks, method)._jdf.queryExecution().toString()
+    projects = spark.createDataFrame([("r", "1")], "report_id string, project_gid string")
+    for df in (X.existing_jobs(jobs, tasks), X.existing_jobs(jobs.selectExpr("'r' report_id", "job_number"), tasks, projects)):
+        plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_reports_search_their_own_projects(spark):
+    tasks = spark.createDataFrame([("1", "see (77)"), ("1", "see (77)"), ("2", "job 88x"), ("3", "")], "project_gid string, name string")
+    projects = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("b", "3"), ("c", "9")], "report_id string, project_gid string")
+    rows = [(r, j) for r in "abcd" for j in ("77", "8", "")]
+    jobs = spark.createDataFrame(rows, "report_id string, job_number string")
+    assert sorted(map(tuple, X.existing_jobs(jobs, tasks, projects).collect())) == [("a", "77"), ("b", "8")]
+    raw = [(r, "C", "77", "1", "p", "l", "s", "2025-01-06", 0) for r in "ab"]
+    run = dry_run(spark.createDataFrame(raw, RAW), tasks, 2026, projects=projects)
+    assert {(r.report_id, r.status) for r in run.parents.collect()} == {("a", "skip_exists"), ("b", "would_create")}
+
+
 def test_first_row_keeps_one_row_per_task_before_the_shuffle(spark, rows):
     plan = B.source_children(B.normalise(spark.createDataFrame(rows, RAW)))._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]

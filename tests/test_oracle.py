@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from bookwright.plans.oracle import oracles
+from bookwright.plans.queries import all_queries
 from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,11 +16,12 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the tes
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(all_queries()) == set(oracles())
+    assert set(all_queries()) <= set(entry_module.queries()) and set(oracles()) <= set(entry_module.oracle_sql())
 
 
 @needs_data
-@pytest.mark.parametrize("name", entry_module.queries())
+@pytest.mark.parametrize("name", all_queries())
 def test_query_matches_sql(spark, name):
     assert compare(spark, connect(SF_DIR), SF_DIR, name) is None
 

@@ -91,9 +91,13 @@ def test_csv_bytes(spark, run, tmp_path):
     assert unmatched == "item,reason\nTrafficking rows,1 rows missing CampaignName\n"
 
 
-def test_an_empty_table_still_has_its_header(run, tmp_path):
-    write_csv(run.unmatched.limit(0), str(tmp_path / "none"), S.UNMATCHED_COLUMNS, ("report_id", "line"))
-    assert [f.read_text() for f in (tmp_path / "none").glob("*.csv")] == ["item,reason\n"]
+def test_reports_without_rows_still_have_their_header(spark, run, tmp_path):
+    reports = spark.createDataFrame([("r",), ("q",), ("q",)], "report_id string")
+    for name, df, bare in (("some", run.unmatched, {"q"}), ("none", run.unmatched.limit(0), {"q", "r"})):
+        write_csv(df, str(tmp_path / name), S.UNMATCHED_COLUMNS, ("report_id", "line"), reports=reports)
+        texts = {r: [f.read_text() for f in (tmp_path / name / f"report_id={r}").glob("*.csv")] for r in "qr"}
+        assert {r for r, own in texts.items() if own == ["item,reason\n"]} == bare
+        assert all(len(own) == 1 for own in texts.values())
 
 
 def test_intent_lines(spark, run, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ CHILD_ACK = "report_id string, campaign_name string, job_number string, our_ref
 
 
 def drop(folder, name: str, *rows: tuple[str, str, str]):
-    folder.mkdir(exist_ok=True)
+    folder.mkdir(parents=True, exist_ok=True)
     lines = [f"{c}\t{j}\t{r}\tProp\tLoc\tSpec\t06/01/2025" for c, j, r in rows]
     (folder / name).write_text("\n".join([HEAD, *lines]) + "\n")
 
@@ -71,8 +72,6 @@ def test_reports_of_one_batch_share_a_parent_once(spark, place):
     folder, run, _ = place
     drop(folder / "drop", "b.tsv", ("Camp", "100", "2"), ("Camp", "7", "1"))
     drop(folder / "drop", "a.tsv", ("Camp", "100", "1"))
-    import os
-
     os.utime(folder / "drop" / "a.tsv", (2_000_000_000, 2_000_000_000))  # arrived last
     ledger = run(per_batch=10)
     assert states(ledger) == {
@@ -121,3 +120,54 @@ def test_children_come_from_acknowledged_parents_of_any_run(spark, place):
     second = N.apply_acks(ledger, parent_acks, done)
     assert {r.subtask_name for r in second.child_intents.collect()} == {"chase creative", "Check live status"}
     assert second.children.filter(F.col("subtask_status") == S.CREATED).count() == 1
+
+
+def fill(folder):
+    """Three reports, one of them in two files; a later day brings one of the names again."""
+    (folder / "report_id=r1").mkdir(parents=True)
+    head = [HEAD]
+    (folder / "report_id=r1" / "part-0.tsv").write_text("\n".join([*head, "Camp\t100\t1\tProp\tLoc\tSpec\t07/01/2025"]) + "\n")
+    (folder / "report_id=r1" / "part-1.tsv").write_text("\n".join([*head, "Camp\t100\t2\tProp\tLoc\tSpec\t06/01/2025"]) + "\n")
+    drop(folder, "b.tsv", ("Camp", "10", "1"), ("Tour 5", "222", "1"))
+    drop(folder / "day1", "a.tsv", ("Camp", "5", "1"), ("Camp", "300", "1"))
+    drop(folder / "day2", "a.tsv", ("Camp", "300", "7"), ("Camp", "400", "1"), ("Camp", "30", "1"))
+    for i, name in enumerate(("report_id=r1/part-0.tsv", "report_id=r1/part-1.tsv", "b.tsv", "day1/a.tsv", "day2/a.tsv")):
+        os.utime(folder / name, (2_000_000_000 + 10 * i,) * 2)
+
+
+@pytest.mark.parametrize("per_batch", [1, 2, 10])
+def test_results_do_not_depend_on_the_batch_size(spark, place, per_batch):
+    folder, run, _ = place
+    fill(folder / "drop")
+    ledger = run(per_batch)
+    rows = [(r.report_id, r.job_number, r.status, r.parent_due_on) for r in ledger.parents().orderBy("batch_id").collect()]
+    assert sorted(rows) == sorted(
+        [
+            ("r1", "100", S.WOULD_CREATE, "2024-12-31"),
+            ("b", "10", S.SKIP_EXISTS, "2024-12-31"),  # held by the title of job 100
+            ("b", "222", S.WOULD_CREATE, "2024-12-31"),
+            ("a", "5", S.SKIP_EXISTS, "2024-12-31"),  # held by the title "Tour 5 (222)"
+            ("a", "300", S.WOULD_CREATE, "2024-12-31"),
+            ("a", "300", S.SKIP_EXISTS, "2024-12-31"),
+            ("a", "400", S.WOULD_CREATE, "2024-12-31"),
+            ("a", "30", S.SKIP_EXISTS, "2024-12-31"),
+        ]
+    )
+    acks = [("r1", "Camp", "100", "g1", None), ("a", "Camp", "300", "g2", None)]
+    out = N.apply_acks(ledger, spark.createDataFrame(acks, ACK), spark.createDataFrame([], CHILD_ACK))
+    intents = sorted((r.report_id, r.job_number, r.our_ref, r.subtask_name) for r in out.child_intents.collect())
+    controls = ("Check live status", "chase creative")
+    assert intents == sorted(
+        [("r1", "100", "1", "(1) Prop - Loc: Spec"), ("r1", "100", "2", "(2) Prop - Loc: Spec"), ("a", "300", "1", "(1) Prop - Loc: Spec")]
+        + [(r, j, "", name) for r, j in (("r1", "100"), ("a", "300")) for name in controls]
+    )
+    assert out.parents.count() == 7 and out.children.count() == out.children.select(*S.CHILD_KEY, "subtask_name").distinct().count()
+
+
+def test_a_title_that_is_not_created_holds_nothing(spark):
+    columns = ("report_id", *S.PARENT_COLUMNS)
+    rows = [("r1", "Camp (100)", "Camp", "100"), ("r2", "Camp 7 (10)", "Camp 7", "10"), ("r3", "X (7)", "X", "7"), ("r4", "Y (7)", "Y", "7")]
+    df = spark.createDataFrame([(*r, "", S.WOULD_CREATE, S.REASON_NEW, "") for r in rows], ", ".join(f"{c} string" for c in columns))
+    turns = spark.createDataFrame([(f"r{i}", i) for i in range(1, 5)], "report_id string, turn int")
+    got = {r.report_id: r.status for r in N.claim_in_order(df, turns).collect()}
+    assert got == {"r1": S.WOULD_CREATE, "r2": S.SKIP_EXISTS, "r3": S.WOULD_CREATE, "r4": S.SKIP_EXISTS}
