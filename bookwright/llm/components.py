@@ -46,30 +46,39 @@ def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """Verified links (``a, b``) among the members of buckets (``bucket, id, size``), and ``id, root`` of the linked ones.
 
     ``verify`` keeps the true ones of candidate pairs (``a, b``); pairs whose sizes have a lower ratio than ``least``
-    can't be true and aren't made. A bucket's first member is compared with all
-    the others; then, where members of several classes are left, the next ``MORE`` of them with those of other
-    classes, and so on with ever more, until a bucket's members are of one class or all compared. So no link
-    between classes is lost, a bucket of copies costs one comparison per member, and the rounds grow with
-    the logarithm of what is left.
+    can't be true and aren't made.
+
+    Members that meet many others, such as the source of many copies, lead their buckets. At first each member
+    is compared with the greatest of its leads, which links most of a group at one comparison per member. Then a
+    bucket's lead is compared with all members of other classes; then, where members of several classes are
+    left, the next ``MORE`` of them, and so on with ever more, until a bucket's members are of one class or all
+    compared. So no link between classes is lost, and the rounds grow with the logarithm of what is left.
     """
     links = members.sparkSession.createDataFrame([], members.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
-    now, leads = members.select("bucket", "id", "size", F.col("id").alias("root")), 1
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    met_by = members.join(crowds, "bucket").groupBy("id").agg(F.sum("n").alias("meets"))
+    ranked = members.join(met_by, "id").select("bucket", "id", "size", "meets", F.col("id").alias("root"))
+    now, roots, leads, greatest = materialise(ranked, "members"), None, 1, True
     while True:
         # Tasks hand on only the first members of each bucket that they hold.
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("meets"), "id"))
         first = now.withColumn("place", place).filter(F.col("place") <= leads)
-        first = first.select("bucket", F.col("id").alias("lead"), F.col("root").alias("of"), F.col("size").alias("other"))
+        first = first.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("id", "root", "size", "meets")))
         first = materialise(first, "leads")
-        sizes = F.least("size", "other") * least[1] >= F.greatest("size", "other") * least[0]
-        met = now.join(first, "bucket").filter((F.col("id") > F.col("lead")) & (F.col("root") != F.col("of")) & sizes)
-        pairs = met.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        links = materialise(links.union(verify(pairs).select("a", "b")).distinct(), "links")
-        roots = materialise(components(links), "roots")
-        rest = now.join(first.withColumnRenamed("lead", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
-        rest = rest.join(roots, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
-        rest = materialise(rest, "rest")
+        sizes = F.least("size", "lead_size") * least[1] >= F.greatest("size", "lead_size") * least[0]
+        met = now.join(first, "bucket").filter((F.col("id") != F.col("lead_id")) & (F.col("root") != F.col("lead_root")) & sizes)
+        if greatest:
+            met = met.groupBy("id").agg(F.max_by("lead_id", F.struct("lead_meets", "lead_id")).alias("lead_id"))
+        pairs = met.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
+        found = materialise(verify(pairs).select("a", "b"), "links")
+        if roots is None or not found.isEmpty():
+            links = links.union(found)
+            roots = materialise(components(links), "roots")
+        rest = now.drop("root") if greatest else now.drop("root").join(first.select("bucket", F.col("lead_id").alias("id")), ["bucket", "id"], "left_anti")
+        rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = materialise(rest.select(*ranked.columns), "rest")
         several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
         now = materialise(rest.join(several.select("bucket"), "bucket", "left_semi"), "members")
         if now.isEmpty():
-            return links, roots
-        leads *= MORE
+            return links.distinct(), roots
+        leads, greatest = leads if greatest else leads * MORE, False

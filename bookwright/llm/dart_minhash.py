@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookwright.llm.byte_bpe import list_array
-from bookwright.llm.common import map_texts, text_or_empty
+from bookwright.llm.common import map_texts, same_row, text_key, text_or_empty
 from bookwright.llm.components import linked_classes
 from bookwright.session import materialise
 
@@ -130,6 +130,12 @@ def text_keys(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().split())) for t in texts], np.uint64).view(np.int64)
 
 
+def weights(texts: list[str]) -> np.ndarray:
+    """The total weight of each text's shingles."""
+    counts = np.array([len(t.encode().split()) for t in texts], np.int64)
+    return np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
+
+
 def bands(texts: list[str]) -> np.ndarray:
     """One bucket for each band of each text; none for texts without words."""
     hashes, weights, owner = shingles(texts)
@@ -153,19 +159,19 @@ def cells(texts: list[str]) -> list[np.ndarray]:
 def _signed(df: DataFrame) -> DataFrame:
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             found = bands(texts)
             empty = [not t.strip(" \t\n\r\x0b\x0c") for t in texts]
             buckets = [b[:0] if e else b for b, e in zip(found, empty, strict=True)]
             lists = pa.ListArray.from_arrays(
                 np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int32), np.concatenate(buckets)
             )
-            return {"doc_id": batch.column(0), "key": text_keys(texts), "buckets": lists}
+            return {"doc_id": batch.column(0), "text_key": batch.column(1), "key": text_keys(texts), "size": weights(texts), "buckets": lists}
 
         return fn
 
     id_type = df.schema["doc_id"].dataType.simpleString()
-    return map_texts(df, "text", f"doc_id {id_type}, key bigint, buckets array<bigint>", make)
+    return map_texts(df, "text", f"doc_id {id_type}, text_key bigint, key bigint, size bigint, buckets array<bigint>", make)
 
 
 def _cells_of(df: DataFrame) -> DataFrame:
@@ -183,26 +189,35 @@ def _cells_of(df: DataFrame) -> DataFrame:
     return map_texts(df.select("key", "text"), "text", "id bigint, cells array<int>", make)
 
 
+def first_of_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows with the least id of each class of near duplicates; of equal rows, one."""
+    found = near_classes(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_key").distinct()
+    keyed = df.withColumn("_key", text_key(text_col))
+    kept = keyed.join(found, same_row(keyed, found, id_col), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).select(*df.columns)
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_docs``, one row per input row; ``class_id`` is the least id of the class.
+    """``doc_id, text_key, class_id, n_docs``, one row per input row; ``class_id`` is the least id of the class.
 
     Texts of the same words are of one class, and so are those linked, over others too, by a weighted Jaccard
     similarity of at least ``LEAST``. Texts without words are alike among each other only. A null text is the
     empty text; null ids count as the greatest; rows may repeat. Other columns are not read.
     Texts are named by 64 bits and similarities counted on 32 bits of each shingle and occurrence.
     """
-    docs = df.select(df[id_col].alias("doc_id"), text_or_empty(text_col).alias("text"))
+    docs = df.select(df[id_col].alias("doc_id"), text_key(text_col), text_or_empty(text_col).alias("text"))
     signed = materialise(_signed(docs), "signed")
     # One row per text, however many copies it has.
-    texts = signed.groupBy("key").agg(F.first("buckets").alias("buckets"))
-    filed = texts.select(F.explode("buckets").alias("bucket"), F.col("key").alias("id"))
+    texts = signed.groupBy("key").agg(F.first(F.struct("size", "buckets")).alias("s"))
+    filed = texts.select(F.explode("s.buckets").alias("bucket"), F.col("key").alias("id"), F.col("s.size").alias("size"))
     ends = filed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     shared = ends.filter(F.col("low") < F.col("high")).select("bucket")
     members = materialise(filed.join(shared, "bucket", "left_semi"), "members")
 
     wanted = members.select(F.col("id").alias("key")).distinct()
     holders = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key")
-    own = materialise(_cells_of(docs.join(holders, "doc_id")), "cells")
+    holders = holders.select(F.col("doc_id").alias("_id"), "key")
+    own = materialise(_cells_of(docs.join(holders, docs["doc_id"].eqNullSafe(F.col("_id")))), "cells")
     left, right = own.toDF("a", "cells_a"), own.toDF("b", "cells_b")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -210,8 +225,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         either = F.size("cells_a") + F.size("cells_b") - both
         return pairs.join(left, "a").join(right, "b").filter(both * LEAST[1] >= either * LEAST[0])
 
-    _, roots = linked_classes(members, verify)
-    rows = signed.select("doc_id", "key").join(roots.withColumnRenamed("id", "key"), "key", "left")
-    rows = rows.select("doc_id", F.coalesce("root", "key").alias("root"))
+    _, roots = linked_classes(members, verify, LEAST)
+    rows = signed.select("doc_id", "text_key", "key").join(roots.withColumnRenamed("id", "key"), "key", "left")
+    rows = rows.select("doc_id", "text_key", F.coalesce("root", "key").alias("root"))
     per_class = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
-    return rows.join(materialise(per_class, "perclass"), "root").select("doc_id", "class_id", "n_docs")
+    return rows.join(materialise(per_class, "perclass"), "root").select("doc_id", "text_key", "class_id", "n_docs")
