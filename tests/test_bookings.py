@@ -181,7 +181,8 @@ def test_existence_is_by_substring_and_exact(spark):
 def test_existence_needs_no_nested_loop(spark, tasks):
     jobs = spark.createDataFrame([("1",), ("12",)], "job_number string")
     projects = spark.createDataFrame([("r", "1")], "report_id string, project_gid string")
-    for df in (X.existing_jobs(jobs, tasks), X.existing_jobs(jobs.selectExpr("'r' report_id", "job_number"), tasks, projects)):
+    own = spark.createDataFrame([("r", "1"), ("s", "12")], "report_id string, job_number string")
+    for df in (X.existing_jobs(jobs, tasks), X.existing_jobs(own, tasks, projects)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
