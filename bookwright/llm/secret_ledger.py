@@ -75,9 +75,9 @@ def _scan(blobs: DataFrame) -> DataFrame:
     return map_texts(blobs.select("blob", "text"), "text", LEDGER, make)
 
 
-def with_blob(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's columns and the blob's name; a null text is the empty text."""
-    return df.withColumn("blob", F.unhex(F.sha2(text_or_empty(text_col), 256)))
+def blob_name(text_col: str = "text") -> Column:
+    """The SHA-256 of the text; a null text is the empty text."""
+    return F.unhex(F.sha2(text_or_empty(text_col), 256))
 
 
 def update_ledger(df: DataFrame, ledger_path: str, text_col: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def update_ledger(df: DataFrame, ledger_path: str, text_col: str = "text") -> Da
     spark = df.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger_path)
     seen = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule_version") == RULE_VERSION)
-    texts = with_blob(df.select(df[text_col].alias("text"))).select("blob", text_or_empty().alias("text"))
+    texts = df.select(blob_name(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
     # One row per blob and map task crosses the shuffle, however many copies a text has.
     unseen = texts.groupBy("blob").agg(F.first("text").alias("text")).join(seen.select("blob"), "blob", "left_anti")
     _scan(unseen).write.mode("append").parquet(ledger_path)
@@ -102,14 +102,15 @@ def scan_versions(df: DataFrame, ledger_path: str, id_col: str = "doc_id", text_
     is carried as it is; columns besides the two named are not read.
     """
     findings = update_ledger(df, ledger_path, text_col).select("blob", "spans")
-    versions = with_blob(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))).select("doc_id", "blob")
+    versions = df.select(df[id_col].alias("doc_id"), blob_name(text_col).alias("blob"))
     return versions.join(findings, "blob", "left").select("doc_id", "blob", "spans")
 
 
 def redact(df: DataFrame, ledger_path: str, mask: str = "[secret]", text_col: str = "text") -> DataFrame:
     """The input with every found span replaced by ``mask``; spans that touch or overlap become one."""
-    found = update_ledger(df, ledger_path, text_col).filter(F.size("spans") > 0).select("blob", "spans")
-    text, at = F.col(text_col), F.col("spans")
+    found = update_ledger(df, ledger_path, text_col).filter(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    text, at = F.col(text_col), F.col("_spans")
     # Merged from left to right: what is kept so far and the place up to which the text is used.
     start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("upto"))
 
@@ -122,7 +123,7 @@ def redact(df: DataFrame, ledger_path: str, mask: str = "[secret]", text_col: st
         )
 
     masked = F.aggregate(at, start, step, lambda d: F.concat(d.kept, F.substring(text, d.upto + 1, 2**31 - 1)))
-    joined = with_blob(df, text_col).join(found, "blob", "left")
+    joined = df.withColumn("_blob", blob_name(text_col)).join(found, "_blob", "left")
     clean = joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(masked))
     return clean.select(*df.columns)
 
