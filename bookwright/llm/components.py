@@ -42,6 +42,17 @@ def components(links: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def all_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Every verified link (``a, b``) among the members of buckets (``bucket, id``), and ``id, root`` of the linked ones.
+
+    Each pair that meets is compared once, also inside a class, so that the links can be counted.
+    """
+    left, right = (members.select("bucket", F.col("id").alias(c)) for c in "ab")
+    pairs = left.join(right, "bucket").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    links = materialise(verify(pairs).select("a", "b"), "links")
+    return links, materialise(components(links), "roots")
+
+
 def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: tuple[int, int] = (0, 1)) -> tuple[DataFrame, DataFrame]:
     """Verified links (``a, b``) among the members of buckets (``bucket, id, size``), and ``id, root`` of the linked ones.
 

@@ -102,14 +102,18 @@ def op8_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that line dedup drops from each document: repeats of an earlier line, exact or nearly so."""
+    """The lines that are dropped from each document as repeats of an earlier line, exact or nearly so, and all lines of
+    such classes with their class and their number of links."""
     documents = table(spark, sf_dir, "documents")
-    dropped = line_join.dropped_lines(documents)
+    line = F.struct("line_no", F.col("class").alias("class_id"), "n_links", "dropped")
+    lines = line_join.line_links(documents).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     rows = documents.select("doc_id", text_key().alias("_key"))
-    return rows.join(dropped, same_row(rows, dropped, "doc_id"), "left").select(
+    dropped = F.transform(F.filter("lines", lambda x: x["dropped"]), lambda x: x["line_no"])
+    return rows.join(lines, same_row(rows, lines, "doc_id"), "left").select(
         rows["doc_id"],
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(dropped.cast("array<string>"), ","), F.lit("")).alias("dropped"),
+        F.transform("lines", lambda x: x.dropFields("dropped")).alias("lines"),
     )
 
 
