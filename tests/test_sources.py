@@ -143,6 +143,25 @@ def test_quoted_line_breaks_over_many_pieces(spark, tmp_path, piece):
     assert got == rows
 
 
+@pytest.mark.parametrize("piece", ["512B", "128MB"])
+def test_unclosed_quotes_and_overlong_joined_records_are_rejected(spark, tmp_path, piece):
+    broken = ROW.replace("Prop", '"over\ntwo\tlines ""q"""')
+    put(tmp_path, "open.tsv", "\n".join([HEAD, *[ROW] * 20, ROW.replace("Prop", '"Prop'), *[ROW] * 28]) + "\n")
+    put(tmp_path, "long.tsv", "\n".join([HEAD, broken, *[ROW] * 20, f"{broken}\tmore"]) + "\n")
+    put(tmp_path, "plain_long.tsv", "\n".join([HEAD, broken, *[ROW] * 20, f"{ROW}\tmore"]) + "\n")
+    put(tmp_path, "comma.csv", f'{",".join(S.REQUIRED_COLUMNS)}\n"a,\nb",1,2,"x,y",L,S,TBC\n')
+    put(tmp_path, "fine.tsv", "\n".join([HEAD, *[broken] * 20]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+    try:
+        got = statuses(spark, tmp_path)
+        rows = read(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"open": P.UNCLOSED, "long": P.LONG_ROW, "plain_long": P.LONG_ROW, "comma": P.OK, "fine": P.OK}
+    assert [r[0] for r in rows] == ["comma"] + ["fine"] * 20 and {r[4] for r in rows[1:]} == {'over\ntwo\tlines "q"'}
+
+
 def test_a_large_file_is_split_and_stays_in_order(spark, tmp_path):
     lines = [f"Camp\t{i}\t1\tProp\tLoc\tSpec\t" for i in range(5000)]
     put(tmp_path, "big.tsv", "\n".join([HEAD, *lines]))
