@@ -86,6 +86,33 @@ def test_groups(spark):
     assert not got[200] and not got[201] and all(got[i] for i in range(120))
 
 
+def test_each_statistic_rejects_on_its_own(spark):
+    rng = random.Random(9)
+
+    def text(n: int) -> list[str]:
+        return words(rng, n).split()
+
+    few, phrase, shared = text(40), text(23), text(14)
+    planted = {
+        "word_length": " ".join(w * 5 for w in text(90)),
+        "symbols": " ".join(w + "#$" for w in text(90)),
+        "dup_lines": "\n".join(rng.sample(few * 4, 160)),  # lines of a word, three in four of them repeated
+        "repeats": " ".join([*phrase, *text(27), *phrase, *text(27)]),
+        "upper": words(rng, 90).upper(),
+        "marks": " ".join(w + "," for w in text(90)),
+    }
+    assert set(planted) == set(O.FLOORS)
+    clean = "\n".join([*(" ".join(x) for x in (shared, shared)), " ".join(text(72))])  # a third and 0.28, as labelled clean texts have
+    usual = [words(rng, 80) + ".\n" + words(rng, 60) for _ in range(150)] + [clean]
+    rows = [(t, t, "en", "s") for t in [*usual, *planted.values()]]
+    got = {r.doc_id: r for r in O.quality(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {name: got[t].kept for name, t in planted.items()} == dict.fromkeys(planted, False)
+    assert all(got[t].kept for t in usual)
+    other = got[planted["dup_lines"]]
+    assert other.n_repeat_words < 0.1 * other.n_words and got[planted["repeats"]].n_dup_lines == 0
+
+
 def test_odd_and_empty_documents(spark):
     odd = odd_documents(spark).selectExpr("*", "cast(null as string) lang", "'z' source", "1 v0", "'g' grp")
     rows = O.quality(odd).collect()
