@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookwright.llm import byte_bpe, dart_minhash, gated_lm, html_extract, impact_topk, line_join, outliers, packing, secret_ledger, token_counts
+from bookwright.llm import (
+    byte_bpe,
+    conversation_repair,
+    dart_minhash,
+    gated_lm,
+    html_extract,
+    impact_topk,
+    line_join,
+    outliers,
+    packing,
+    secret_ledger,
+    subword_toxicity,
+    token_counts,
+    whitening,
+)
 from bookwright.llm.common import same_row, text_key
 from bookwright.session import scratch_path
 
@@ -120,3 +134,21 @@ def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_survivor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations with their faults, the cheapest repair and a hash of its result."""
+    rows, present = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, present=present)
+
+
+@query
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
