@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookwright.session import materialise
+
 
 def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """Every piece of a name that is as long as some job, with the name's other columns.
@@ -23,6 +25,29 @@ def name_pieces(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
     return starts.select(*others, F.substring(F.col("name"), F.col("at"), F.col("n")).alias("job_number"))
 
 
+def job_lengths(jobs: DataFrame) -> list[int]:
+    """The different lengths of jobs, blank ones aside: few, however many jobs there are."""
+    found = jobs.filter(F.col("job_number") != "").agg(F.sort_array(F.collect_set(F.char_length("job_number")))).first()[0]
+    return found or []
+
+
+#: An index of pieces: a folder per length, and in it each piece once with its hash.
+PIECE_SCHEMA = "key bigint, job_number string, length int"
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """``job_number`` of ``pieces`` as an index below ``path``."""
+    rows = pieces.select(F.xxhash64("job_number").alias("key"), "job_number").distinct()
+    rows.withColumn("length", F.char_length("job_number")).write.mode("overwrite").partitionBy("length").parquet(path)
+
+
+def held_by_index(jobs: DataFrame, index: DataFrame) -> DataFrame:
+    """The jobs that an index holds; only the folders of their lengths are read."""
+    pieces = index.filter(F.col("length").isin(job_lengths(jobs))).select("key", "job_number")
+    wanted = jobs.select("job_number").distinct().withColumn("key", F.xxhash64("job_number"))
+    return wanted.join(pieces, ["key", "job_number"], "left_semi").select("job_number")
+
+
 def existing_jobs(jobs: DataFrame, tasks: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """The jobs that some task name contains, case-sensitively; ``jobs`` must be distinct.
 
@@ -32,18 +57,19 @@ def existing_jobs(jobs: DataFrame, tasks: DataFrame, projects: DataFrame | None
     """
     key = ["job_number"] if projects is None else ["report_id", "job_number"]
     jobs = jobs.select(*key).filter(F.col("job_number") != "")
-    # The lengths are few, however many jobs there are: whole numbers up to the longest job.
-    lengths = jobs.agg(F.sort_array(F.collect_set(F.char_length("job_number")))).first()[0]
+    lengths = job_lengths(jobs)
     if not lengths:
         return jobs
     names = tasks.filter(F.col("name") != "")
     if projects is None:
-        return jobs.join(name_pieces(names.select("name"), lengths).distinct(), "job_number", "left_semi")
+        # The jobs filter the pieces, which are far more; only pieces that are jobs are made distinct.
+        return name_pieces(names.select("name"), lengths).join(jobs, "job_number", "left_semi").distinct()
     searched = projects.select("report_id", "project_gid").distinct()
     names = tasks_in_projects(names, searched).select("project_gid", "name")
-    wanted = jobs.join(searched, "report_id")
-    pieces = name_pieces(names, lengths).distinct()
-    return wanted.join(pieces, ["project_gid", "job_number"], "left_semi").select(*key).distinct()
+    wanted = materialise(jobs.join(searched, "report_id"), "wanted")
+    anywhere = wanted.select("project_gid", "job_number").distinct()
+    found = name_pieces(names, lengths).join(anywhere, ["project_gid", "job_number"], "left_semi").distinct()
+    return wanted.join(found, ["project_gid", "job_number"], "left_semi").select(*key).distinct()
 
 
 def new_jobs(jobs: DataFrame, existing: DataFrame) -> DataFrame:

@@ -538,6 +538,20 @@ FROM children c JOIN outcome p ON {_CHILD_JOIN}
             _LABELS,
             """SELECT label_id, name FROM labels_in UNION ALL
 SELECT NULL, min(name) FROM wanted WHERE lower(name) NOT IN (SELECT lower(trim(name)) FROM labels_in) GROUP BY lower(name)""",
+        ),
+        "incremental_outcomes": _with(
+            _CHILDREN,
+            """SELECT campaign_name, lpad(job_number, 8, '0') AS job_number, n AS reports,
+  CASE WHEN known THEN n ELSE n - 1 END AS skipped,
+  CAST(NOT known AND answered AND k % 7 <> 0 AS BIGINT) AS created,
+  CAST(NOT known AND answered AND k % 7 = 0 AS BIGINT) AS failed,
+  CAST(NOT known AND NOT answered AS BIGINT) AS waiting,
+  CASE WHEN NOT known AND answered AND k % 7 <> 0 AND k % 11 <> 0 THEN coalesce(c, 0) ELSE 0 END AS child_intents
+FROM (
+  SELECT *, CAST(job_number AS BIGINT) AS k, k % 14 = 0 AS known, k % 13 <> 0 AS answered,
+    CAST(k % 5 <> 0 AS BIGINT) + CAST(k % 5 <> 0 AND k % 4 = 0 AS BIGINT) + CAST(k % 3 = 0 AS BIGINT) AS n
+  FROM parents LEFT JOIN (SELECT campaign_name, job_number, count(*) AS c FROM children GROUP BY ALL) USING (campaign_name, job_number)
+) WHERE n > 0""",
         ),
         "label_resolve": _with(
             _LABELS,

@@ -25,6 +25,7 @@ from bookwright.session import materialise, scratch_path
 from bookwright.sinks.tables import CSV_OPTIONS, write_intents, write_results
 from bookwright.sources.reports import read_reports, report_conformance
 from bookwright.sources.tasks import read_task_pages
+from bookwright.streaming import incremental as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -391,8 +392,11 @@ def existing_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def existing_jobs_kgram(spark: SparkSession, sf: str) -> DataFrame:
-    """The same search under its earlier name."""
-    return existing_jobs(spark, sf)
+    """The same search through a written index of the names' pieces, looked up by length and hash."""
+    jobs = materialise(_jobs(spark, sf), "jobs")
+    path = scratch_path(spark, "pieces")
+    X.write_pieces(X.name_pieces(_tasks(spark, sf).select("name"), X.job_lengths(jobs)), path)
+    return X.held_by_index(jobs, spark.read.schema(X.PIECE_SCHEMA).parquet(path))
 
 
 @query
@@ -572,3 +576,50 @@ def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def label_resolve(spark: SparkSession, sf: str) -> DataFrame:
     wanted = _wanted_labels(spark, sf).distinct()
     return L.resolve_labels(_labels(spark, sf), wanted)
+
+
+def _arrive(spark: SparkSession, folder: str, rows: DataFrame) -> None:
+    """Report files put into a drop folder that may have some; their rows stand in the order of the bookings."""
+    placed = rows.repartitionByRange("report_id", "row_ord").sortWithinPartitions("report_id", "row_ord")
+    writer = placed.select("report_id", *S.REQUIRED_COLUMNS).write.mode("append").partitionBy("report_id")
+    writer.options(**CSV_OPTIONS).options(sep="\t", extension="tsv").csv(folder)
+
+
+@query
+def incremental_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrivals in a drop folder, each read by a stream that is then started once more without news; and the answers.
+
+    Jobs have eight digits, so that they match whole. Some are in two reports of the first arrival, some in both
+    arrivals, and some in existing names. What is counted per job does not depend on which report came first.
+    """
+    order = F.col("row_ord.l_orderkey")
+    raw = V.bookings_raw(spark, sf).withColumn("JobNumber", F.when(F.col("JobNumber") != "", F.lpad(order.cast("string"), 8, "0")).otherwise(""))
+    first = raw.filter(order % 5 != 0)
+    shared = first.filter(order % 4 == 0).withColumn("report_id", F.concat(F.lit("x"), "report_id"))
+    later = raw.filter(order % 3 == 0).withColumn("report_id", F.concat(F.lit("y"), "report_id"))
+    names = V.table(spark, sf, "orders").filter(F.col("o_orderkey") % 14 == 0)
+    names = names.select(F.lit("100").alias("project_gid"), F.concat(F.lit("Done "), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("name"))
+    settings = N.Settings(lambda: names, pivot_year=PIVOT_YEAR)
+    drop, check, out = (scratch_path(spark, name) for name in ("drop", "stream", "incremental"))
+    for rows in (first.unionByName(shared), later):
+        _arrive(spark, drop, rows)
+        ledger = N.run_incremental(spark, drop, check, out, settings)
+    ledger = N.run_incremental(spark, drop, check, out, settings)
+
+    answers = O.parse_acks(V.ack_bodies(spark, sf).filter(F.col("job_number").cast("bigint") % 13 != 0))
+    answers = answers.withColumn("job_number", F.lpad("job_number", 8, "0"))
+    waiting = ledger.parents().filter(F.col("status") == S.WOULD_CREATE).select(*S.PARENT_KEY)
+    acks = waiting.join(answers, "job_number").select(*S.PARENT_KEY, "gid", "error")
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in (*S.CHILD_KEY, "subtask_name", "gid", "error")))
+    done = N.apply_acks(ledger, acks, none)
+    key = ["campaign_name", "job_number"]
+    status = F.col("status")
+    parents = done.parents.groupBy(*key).agg(
+        F.count("*").alias("reports"),
+        F.count_if(status == S.SKIP_EXISTS).alias("skipped"),
+        F.count_if(status == S.CREATED).alias("created"),
+        F.count_if(status == S.ERROR_PARENT_CREATE).alias("failed"),
+        F.count_if(status == S.WOULD_CREATE).alias("waiting"),
+    )
+    children = done.child_intents.groupBy(*key).agg(F.count("*").alias("child_intents"))
+    return parents.join(children, key, "left").na.fill(0, ["child_intents"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,13 +45,13 @@ def dry_run(
     date_policy: str = "batch",
     rules: Sequence[C.ControlRule] = C.DEFAULT_RULES,
     projects: DataFrame | None = None,
-    titles: DataFrame | None = None,
+    earlier: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Run:
     """Reports and existing tasks to result tables.
 
     ``projects`` (``report_id, project_gid``, see ``projects_to_check``) says where a report's jobs may
-    already exist; without it they are looked for in all tasks. ``titles`` (``name``) are names that every
-    report takes for existing ones.
+    already exist; without it they are looked for in all tasks. ``earlier`` says which of the
+    jobs (``job_number``, written) any report finds besides.
 
     The reports are shuffled once, by campaign, job and reference, for the first-row rule. The
     rows left are written down; candidates, dates, jobs and children all read from there.
@@ -64,7 +64,7 @@ def dry_run(
     earliest = candidates.select(*S.PARENT_KEY, "earliest").filter(F.col("earliest").isNotNull())
     children = C.all_children(source, C.control_children(earliest, rules, order_type))
 
-    existing = _existing(first, tasks, projects, titles)
+    existing = _existing(first, tasks, projects, earlier)
     due = C.due_from_earliest(F.col("earliest"), rules)
     dated = candidates.withColumn("parent_due_on", due)
     parents = materialise(R.parent_status(dated, existing), "parents")
@@ -73,14 +73,16 @@ def dry_run(
 
 
 def _existing(
-    first: DataFrame, tasks: DataFrame, projects: DataFrame | None, titles: DataFrame | None = None
+    first: DataFrame,
+    tasks: DataFrame,
+    projects: DataFrame | None,
+    earlier: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     jobs = materialise(B.jobs_to_check(first) if projects is None else B.report_jobs(first), "jobs")
     found = X.existing_jobs(jobs, tasks, projects)
-    if titles is None:
+    if earlier is None:
         return found
-    named = X.existing_jobs(jobs.select("job_number").distinct(), titles)
-    return found.union(jobs.join(named, "job_number", "left_semi").select(*found.columns)).distinct()
+    return found.union(jobs.join(earlier(jobs), "job_number", "left_semi").select(*found.columns)).distinct()
 
 
 def interactive_run(

@@ -2,9 +2,12 @@
 
 All files of a report that are there when a run starts are one arrival of it; a name that comes
 again later is another arrival. The file source remembers which files it has handed out; a
-micro-batch counts as done only when its function returns. A batch works through its arrivals in
-groups of whole reports, and the size of a group changes no result. Everything a group writes goes
-to folders of its own that a replay overwrites, and the processed mark is written last.
+micro-batch counts as done only when its function returns. Which files belong to which arrival is a
+table, and all arrivals of a batch are reconciled in one run, in their order. Everything a run
+writes goes to folders of its own that a replay overwrites, and the processed mark is written last.
+
+Titles asked for are searched through an index of their pieces, which only grows: a title's pieces of
+a length are cut once, when it is asked for, or in the run that first has a job of that length.
 """
 
 from __future__ import annotations
@@ -12,25 +15,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookwright import schema as S
+from bookwright.operators import existing as X
 from bookwright.operators import outcomes as O
 from bookwright.operators.bookings import first_per_key
-from bookwright.operators.existing import name_pieces
 from bookwright.operators.results import child_results
 from bookwright.plans.reconcile import dry_run
 from bookwright.session import materialise
 from bookwright.sinks.tables import write_intents, write_results
-from bookwright.sources.reports import OK, read_reports, report_id_of, survey_reports
+from bookwright.sources.reports import OK, Chosen, read_reports, report_id_of, survey_reports
 
 _TEXT_PARENT = ("report_id", *S.PARENT_COLUMNS)
-_PARENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _TEXT_PARENT])
+_PARENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("arrival", *_TEXT_PARENT)])
 _CHILD_SCHEMA = T.StructType(
     [
-        *(T.StructField(c, T.StringType()) for c in (*S.CHILD_KEY, "subtask_name", "start_date_raw", "subtask_kind")),
+        *(T.StructField(c, T.StringType()) for c in ("arrival", *S.CHILD_KEY, "subtask_name", "start_date_raw", "subtask_kind")),
         T.StructField("due", T.DateType()),
         T.StructField(
             "child_ord",
@@ -55,6 +58,19 @@ _CHILD_SCHEMA = T.StructType(
 #: More groups than a micro-batch has; the number of a group is that of its batch times this, plus its own.
 _GROUPS = 1_000_000_000
 _PROCESSED_SCHEMA = T.StructType([T.StructField("report_id", T.StringType()), T.StructField("file_path", T.StringType())])
+#: Pieces of the titles asked for; ``late`` ones are of titles asked for before, cut when their length first came up.
+_PIECE_SCHEMA = T.StructType(
+    [
+        T.StructField("key", T.LongType()),
+        T.StructField("job_number", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("late", T.BooleanType()),
+        T.StructField("length", T.IntegerType()),
+    ]
+)
+_LENGTH_SCHEMA = T.StructType([T.StructField("length", T.IntegerType())])
+#: Between a name and the number of its arrival within a batch; stands in no file name.
+_AGAIN = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -72,8 +88,15 @@ class Ledger:
 
     def prepare(self) -> None:
         """Tables without rows, so that the first batch has something to read."""
-        for table, schema in (("parents", _PARENT_SCHEMA), ("children", _CHILD_SCHEMA), ("processed", _PROCESSED_SCHEMA)):
-            self.write(self.spark.createDataFrame([], schema), table, -1)
+        for table, schema in (
+            ("parents", _PARENT_SCHEMA),
+            ("children", _CHILD_SCHEMA),
+            ("processed", _PROCESSED_SCHEMA),
+            ("piece_lengths", _LENGTH_SCHEMA),
+        ):
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(table, -1))
+        none = T.StructType(_PIECE_SCHEMA.fields[:2])
+        self.spark.createDataFrame([], none).write.mode("ignore").parquet(f"{self.path('title_pieces', -1)}/late=false/length=0")
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
         with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
@@ -88,10 +111,26 @@ class Ledger:
     def processed(self) -> DataFrame:
         return self._read("processed", _PROCESSED_SCHEMA)
 
-    def titles_before(self, batch_id: int) -> DataFrame:
-        """Titles that earlier groups asked to create; a replay does not see its own."""
-        asked = self.parents().filter((F.col("batch_id") < batch_id) & (F.col("status") == S.WOULD_CREATE))
-        return asked.select(F.col("task_name").alias("name"))
+    def lengths_before(self, batch_id: int) -> list[int]:
+        """The lengths for which all earlier titles are in the index; as many as jobs have lengths."""
+        known = self._read("piece_lengths", _LENGTH_SCHEMA).filter(F.col("batch_id") < batch_id)
+        return sorted(r["length"] for r in known.select("length").distinct().collect())
+
+    def write_pieces(self, pieces: DataFrame, batch_id: int, late: bool) -> None:
+        X.write_pieces(pieces, f"{self.path('title_pieces', batch_id)}/late={str(late).lower()}")
+
+    def held_before(self, jobs: DataFrame, batch_id: int) -> DataFrame:
+        """The jobs that titles of earlier batches hold; a replay does not see its own.
+
+        Where the batch has jobs of new lengths, the earlier titles are cut at those, and only at those.
+        """
+        added = sorted(set(X.job_lengths(jobs)) - set(self.lengths_before(batch_id)))
+        if added:
+            asked = self.parents().filter((F.col("batch_id") < batch_id) & (F.col("status") == S.WOULD_CREATE))
+            self.write_pieces(X.name_pieces(asked.select(F.col("task_name").alias("name")), added), batch_id, late=True)
+        index = self.spark.read.schema(_PIECE_SCHEMA).parquet(f"{self.root}/title_pieces")
+        seen = (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & F.col("late") & F.lit(bool(added)))
+        return X.held_by_index(jobs, index.filter(seen))
 
     def pivot_year(self, wanted: int | None) -> int:
         """The year that two-digit years are near to: as set, or that of the first run."""
@@ -102,20 +141,28 @@ class Ledger:
         return self.spark.read.parquet(f"{self.root}/pivot_year").first()["year"]
 
 
-def claim_in_order(parents: DataFrame, turns: DataFrame) -> DataFrame:
+def asked_titles(parents: DataFrame, lengths: list[int]) -> DataFrame:
+    """``title`` (a parent's number) and ``job_number``: the pieces of the titles that parents would create."""
+    asked = parents.filter(F.col("status") == S.WOULD_CREATE)
+    return X.name_pieces(asked.select(F.xxhash64(*S.PARENT_KEY).alias("title"), F.col("task_name").alias("name")), lengths)
+
+
+def claim_in_order(parents: DataFrame, turns: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     """Of the parents that reports would create, those that an earlier report's new title holds exist already.
 
     ``turns`` has ``report_id, turn``. A title counts only if its own parent is created, so a parent is
     decided once all the earlier titles that hold its job are; each round decides at least the
-    earliest report that is still open.
+    earliest report that is still open. ``pieces`` are the ``asked_titles`` where they are written already.
     """
     named = parents.filter(F.col("status") == S.WOULD_CREATE).join(turns, "report_id")
-    waiting = materialise(named.select(F.xxhash64(*S.PARENT_KEY).alias("id"), "job_number", "task_name", "turn"), "waiting")
-    lengths = waiting.agg(F.sort_array(F.collect_set(F.char_length("job_number")))).first()[0]
-    if not lengths:
-        return parents
-    titles = waiting.select(F.col("id").alias("title"), F.col("turn").alias("earlier"), F.col("task_name").alias("name"))
-    held = name_pieces(titles, lengths).join(waiting.select("id", "job_number", "turn"), "job_number")
+    waiting = materialise(named.select(F.xxhash64(*S.PARENT_KEY).alias("id"), "job_number", "turn"), "waiting")
+    if pieces is None:
+        lengths = X.job_lengths(waiting)
+        if not lengths:
+            return parents
+        pieces = asked_titles(parents, lengths)
+    titles = waiting.select(F.col("id").alias("title"), F.col("turn").alias("earlier"))
+    held = pieces.join(waiting.select("id", "job_number", "turn"), "job_number").join(titles, "title")
     pairs = materialise(held.filter(F.col("earlier") < F.col("turn")).select("id", "title").distinct(), "held")
     blocked = pairs.select("id", F.lit(True).alias("blocked")).distinct()
     state = waiting.select("id").join(blocked, "id", "left").select("id", F.when(F.col("blocked").isNull(), True).alias("created"))
@@ -153,59 +200,87 @@ class Settings:
     date_policy: str = "batch"
 
 
-def arrivals(files: DataFrame, reports_per_group: int) -> list[dict[str, list[str]]]:
-    """The paths of each new report, in groups of whole reports by time of arrival.
+def arrivals(files: DataFrame) -> DataFrame:
+    """``arrival, report_id, turn`` and the ``file_path`` of each new file.
 
-    The files of a ``report_id=`` folder are one report, and any other file is one of its own. No group
-    holds a name twice. Paths alone come to the driver, as reading needs them there.
+    The files of a ``report_id=`` folder are one report, and any other file is one of its own. The turn is the time of a
+    report's first file, then its path. An arrival has the name of its report; a name that comes again in the same batch has
+    its number behind it.
     """
-    path = F.col("path")
+    path = F.col("file_path")
     folder = F.regexp_extract(path, r"^(.*/report_id=[^/]+)/", 1)
     unit = F.when(folder != "", folder).otherwise(path)
-    whole = files.groupBy(report_id_of(path).alias("report_id"), unit.alias("unit")).agg(
-        F.min(F.struct("modificationTime", "path")).alias("arrived"), F.sort_array(F.collect_list("path")).alias("paths")
-    )
-    groups: list[dict[str, list[str]]] = [{}]
-    for row in sorted(whole.collect(), key=lambda r: r["arrived"]):
-        if len(groups[-1]) == reports_per_group or row["report_id"] in groups[-1]:
-            groups.append({})
-        groups[-1][row["report_id"]] = row["paths"]
-    return [g for g in groups if g]
-
-
-def process_group(spark: SparkSession, group: dict[str, list[str]], batch_id: int, ledger: Ledger, settings: Settings) -> None:
-    """Some whole reports: read, reconcile, write everything, then mark as processed."""
-    paths = [path for own in group.values() for path in own]
-    survey = survey_reports(spark, paths, settings.skip_top_rows)
+    named = files.select("file_path", "modified", report_id_of(path).alias("report_id"), unit.alias("unit"))
+    units = named.groupBy("report_id", "unit").agg(F.min(F.struct("modified", "file_path")).alias("turn"))
+    again = F.row_number().over(Window.partitionBy("report_id").orderBy("turn"))
+    number = F.when(again > 1, F.concat(F.lit(_AGAIN), again.cast("string"))).otherwise("")
+    units = units.withColumn("arrival", F.concat("report_id", number))
+    return named.join(units.select("unit", "arrival", "turn"), "unit").select("arrival", "report_id", "turn", "file_path", "modified")
+
+
+def _own(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows by report as rows by arrival."""
+    names = group.select("arrival", "report_id").distinct()
+    return rows.join(names, "report_id").drop("report_id").withColumnRenamed("arrival", "report_id")
+
+
+def _names_come_again(group: DataFrame) -> bool:
+    return not group.filter(F.col("arrival") != F.col("report_id")).isEmpty()
+
+
+def _named(rows: DataFrame, group: DataFrame, again: bool) -> DataFrame:
+    """Rows by arrival with the name of the report, and the ``arrival`` beside it."""
+    if not again:
+        return rows.withColumn("arrival", F.col("report_id"))
+    names = group.select(F.col("arrival").alias("_arrival"), F.col("report_id").alias("_name")).distinct()
+    joined = rows.join(names, F.col("report_id") == F.col("_arrival"))
+    return joined.withColumns({"report_id": F.col("_name"), "arrival": F.col("_arrival")}).drop("_name", "_arrival")
+
+
+def process_group(spark: SparkSession, drop_dir: str, group: DataFrame, batch_id: int, ledger: Ledger, settings: Settings) -> None:
+    """Some whole arrivals: read, reconcile, write everything, then mark as processed."""
+    first = group.agg(F.date_format(F.min("modified") - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    if first is None:
+        return
+    survey = survey_reports(spark, drop_dir, settings.skip_top_rows, Chosen(group, first))
     profile = survey.profile
     ledger.write(profile.filter(F.col("status") != OK).select("report_id", "file_path", "status", "missing"), "rejected", batch_id)
 
-    raw = read_reports(spark, paths, settings.skip_top_rows, survey)
-    projects = settings.projects() if settings.projects else None
+    files = group.select("file_path", "arrival")
+    again = _names_come_again(group)
+    raw = read_reports(spark, drop_dir, settings.skip_top_rows, survey)
+    if again:
+        raw = raw.join(files, F.col("row_ord.file_path") == F.col("file_path"))
+        raw = raw.withColumn("report_id", F.col("arrival")).drop("arrival", "file_path")
     run = dry_run(
         raw,
         settings.tasks(),
         ledger.pivot_year(settings.pivot_year),
         settings.date_policy,
-        projects=projects,
-        titles=ledger.titles_before(batch_id),
+        projects=_own(settings.projects(), group) if settings.projects else None,
+        earlier=lambda jobs: ledger.held_before(jobs, batch_id),
     )
-    turns = spark.createDataFrame(list(enumerate(group)), "turn int, report_id string")
-    claimed = claim_in_order(run.parents, turns) if len(group) > 1 else run.parents
-    ledger.write(claimed, "parents", batch_id)
-    ledger.write(run.children, "children", batch_id)
+    lengths = sorted({*ledger.lengths_before(batch_id), *X.job_lengths(run.parents)})
+    pieces = materialise(asked_titles(run.parents, lengths), "asked") if lengths else None
+    claimed = claim_in_order(run.parents, group.select(F.col("arrival").alias("report_id"), "turn").distinct(), pieces)
+    claimed = materialise(claimed, "claimed")
+    ledger.write(_named(claimed, group, again), "parents", batch_id)
+    ledger.write(_named(run.children, group, again), "children", batch_id)
+    if pieces is not None:
+        created = claimed.filter(F.col("status") == S.WOULD_CREATE).select(F.xxhash64(*S.PARENT_KEY).alias("title"))
+        ledger.write_pieces(pieces.join(created, "title", "left_semi"), batch_id, late=False)
+    ledger.write(spark.createDataFrame([(n,) for n in lengths], _LENGTH_SCHEMA), "piece_lengths", batch_id)
 
-    parents = spark.read.schema(_PARENT_SCHEMA).parquet(ledger.path("parents", batch_id))
-    children = spark.read.schema(_CHILD_SCHEMA).parquet(ledger.path("children", batch_id))
     tables = {
-        "parent_task_results": parents,
-        "subtask_results": child_results(parents, children),
+        "parent_task_results": claimed,
+        "subtask_results": child_results(claimed, run.children),
         "unmatched_items": run.unmatched,
     }
     done = profile.filter(F.col("status") == OK).select("report_id", "file_path")
-    write_results(tables, f"{ledger.root}/results/batch_id={batch_id}", "overwrite", done)
+    arrived = done.select("file_path").join(files, "file_path").select(F.col("arrival").alias("report_id"))
+    write_results(tables, f"{ledger.root}/results/batch_id={batch_id}", "overwrite", arrived)
     if settings.feeds is not None:
-        intents = O.parent_intents(parents, settings.feeds())
+        intents = O.parent_intents(claimed, _own(settings.feeds(), group))
         write_intents(intents, f"{ledger.root}/parent_intents/batch_id={batch_id}", "overwrite")
 
     ledger.write(done, "processed", batch_id)
@@ -217,26 +292,37 @@ def run_incremental(
     checkpoint: str,
     out_dir: str,
     settings: Settings,
-    reports_per_batch: int = 16,
+    reports_per_batch: int | None = None,
 ) -> Ledger:
     """Process what is new in the drop folder, then stop.
 
-    Every report sees the titles of all that arrived before it, whatever ``reports_per_batch`` is.
+    Every report sees the titles of all that arrived before it. All new reports are one run; with
+    ``reports_per_batch``, as many at a time, to the same results.
     """
     ledger = Ledger(spark, out_dir.rstrip("/"))
     ledger.prepare()
 
     def process(files: DataFrame, batch_id: int) -> None:
-        for n, group in enumerate(arrivals(files, reports_per_batch)):
-            process_group(spark, group, batch_id * _GROUPS + n, ledger, settings)
-
-    # Only names and times are read here; the contents are read by the groups, in pieces.
+        ledger.write(arrivals(files), "arrivals", batch_id)
+        arrived = spark.read.parquet(ledger.path("arrivals", batch_id))
+        if reports_per_batch is None:
+            process_group(spark, drop_dir, arrived, batch_id * _GROUPS, ledger, settings)
+            return
+        # One row per arrival is ranked here, a name and a time.
+        ranked = arrived.select("arrival", "turn").distinct().withColumn("rank", F.row_number().over(Window.orderBy("turn")) - 1)
+        parts = ranked.select("arrival", F.floor(F.col("rank") / reports_per_batch).cast("int").alias("part"))
+        parts = materialise(parts, "parts")
+        for n in range((parts.agg(F.max("part")).first()[0] or 0) + 1):
+            some = arrived.join(parts.filter(F.col("part") == n), "arrival", "left_semi")
+            process_group(spark, drop_dir, materialise(some, "group"), batch_id * _GROUPS + n, ledger, settings)
+
+    # Only names and times are read here; the contents are read by the runs, in pieces.
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .load(drop_dir)
-        .select("path", "modificationTime")
+        .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"))
     )
     stream = files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
@@ -258,11 +344,12 @@ def apply_acks(ledger: Ledger, parent_acks: DataFrame, child_acks: DataFrame) ->
     are not asked for again. A report that came several times has a row per parent: that of the arrival
     which asked for it, or else of the first; the children are those of the same arrival.
     """
-    turn = F.struct((F.col("status") != S.WOULD_CREATE).alias("later"), "batch_id")
+    turn = F.struct((F.col("status") != S.WOULD_CREATE).alias("later"), "batch_id", F.char_length("arrival").alias("at"), "arrival")
     first = first_per_key(ledger.parents().withColumn("_turn", turn), S.PARENT_KEY, "_turn").drop("_turn")
-    parents = O.parent_outcomes(first.drop("batch_id"), parent_acks)
-    own = first.select(*S.PARENT_KEY, "batch_id")
-    children = ledger.children().join(own, [*S.PARENT_KEY, "batch_id"], "left_semi").drop("batch_id")
+    first = materialise(first, "first-arrivals")
+    parents = O.parent_outcomes(first.drop("batch_id", "arrival"), parent_acks)
+    own = first.select(*S.PARENT_KEY, "batch_id", "arrival")
+    children = ledger.children().join(own, [*S.PARENT_KEY, "batch_id", "arrival"], "left_semi").drop("batch_id", "arrival")
     key = [*S.CHILD_KEY, "subtask_name"]
     open_intents = O.child_intents(parents, children).join(child_acks.select(*key), key, "left_anti")
     return Outcome(parents, open_intents, O.child_outcomes(parents, children, child_acks))
