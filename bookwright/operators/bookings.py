@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookwright import schema as S
-from bookwright.functions.dates import due_date
+from bookwright.functions.dates import with_due_date
 from bookwright.functions.text import child_title, fill_na, normalize_campaign, normalize_job, parent_title, py_strip
 
 
@@ -104,16 +104,24 @@ def in_parent_order(parents: DataFrame) -> DataFrame:
     return parents.orderBy(*S.PARENT_KEY)
 
 
+def report_counts(classified: DataFrame, rows: Column | None = None) -> DataFrame:
+    """``rows`` of each report, and how many lack a ``campaign`` or a ``job``; ``rows`` weighs a line of the input."""
+    n = F.lit(1) if rows is None else rows
+
+    def of(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("row_class") == kind, n)), F.lit(0))
+
+    counts = classified.groupBy("report_id")
+    return counts.agg(F.sum(n).alias("rows"), of("missing_campaign").alias("campaign"), of("missing_job").alias("job"))
+
+
 def unmatched_items(bookings: DataFrame) -> DataFrame:
     """Up to two lines per report, naming how many rows lack a campaign or a job."""
-    counts = (
-        classify_rows(bookings)
-        .groupBy("report_id")
-        .agg(
-            F.count_if(F.col("row_class") == "missing_campaign").alias("campaign"),
-            F.count_if(F.col("row_class") == "missing_job").alias("job"),
-        )
-    )
+    return unmatched_lines(report_counts(classify_rows(bookings)))
+
+
+def unmatched_lines(counts: DataFrame) -> DataFrame:
+    """As ``unmatched_items``, from ``report_counts``."""
     lines = F.array(
         F.struct(F.lit(1).alias("line"), F.col("campaign").alias("n"), F.lit(" rows missing CampaignName").alias("text")),
         F.struct(F.lit(2).alias("line"), F.col("job").alias("n"), F.lit(" rows missing JobNumber").alias("text")),
@@ -153,7 +161,7 @@ def source_children(bookings: DataFrame, date_policy: str = "batch", pivot_year:
     ``child_ord`` orders the children of a parent: the section, then the row order.
     """
     first = first_per_key(_keyed(bookings).filter(F.col("our_ref") != ""), S.CHILD_KEY, "row_ord")
-    return _as_children(first.withColumn("due", due_date(F.col("start_date_raw"), date_policy, pivot_year, stripped=True)))
+    return _as_children(with_due_date(first, "start_date_raw", "due", date_policy, pivot_year, stripped=True))
 
 
 def first_rows(bookings: DataFrame, date_policy: str = "batch", pivot_year: int | None = None) -> DataFrame:
@@ -163,8 +171,28 @@ def first_rows(bookings: DataFrame, date_policy: str = "batch", pivot_year: int
     date, because they too prove that the parent is there.
     """
     first = first_per_key(_keyed(bookings), S.CHILD_KEY, "row_ord")
-    due = due_date(F.col("start_date_raw"), date_policy, pivot_year, stripped=True)
-    return first.withColumn("due", F.when(F.col("our_ref") != "", due))
+    dated = with_due_date(first, "start_date_raw", "due", date_policy, pivot_year, stripped=True)
+    return dated.withColumn("due", F.when(F.col("our_ref") != "", F.col("due")))
+
+
+def counted_first_rows(bookings: DataFrame, date_policy: str = "batch", pivot_year: int | None = None) -> DataFrame:
+    """``first_rows`` with ``row_class`` and ``rows``, the number of rows of each key, from the same pass.
+
+    Rows that lack a key are one row per report and kind, so that the report's counts need no other scan. Each map task
+    sends one row per key. A report of rows without keys alone is among them too.
+    """
+    kept = F.col("row_class") == "ok"
+    classed = classify_rows(bookings)
+    keys = ("campaign_name", "job_number", "our_ref")
+    classed = classed.withColumns({c: F.when(kept, F.col(c)).otherwise("") for c in keys})
+    payload = [c for c in bookings.columns if c not in ("report_id", *keys, "row_ord")]
+    first = F.min(F.struct("row_ord", *payload)).alias("first")
+    grouped = classed.withColumn("_hash", F.xxhash64(*S.CHILD_KEY)).groupBy("_hash", "row_class", *S.CHILD_KEY)
+    rows = grouped.agg(first, F.count("*").alias("rows")).select(
+        *S.CHILD_KEY, *(F.col(f"first.{c}").alias(c) for c in (*payload, "row_ord")), "row_class", "rows"
+    )
+    dated = with_due_date(rows, "start_date_raw", "due", date_policy, pivot_year, stripped=True)
+    return dated.withColumn("due", F.when(F.col("our_ref") != "", F.col("due")))
 
 
 def children_of(first: DataFrame) -> DataFrame:

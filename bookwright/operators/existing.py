@@ -51,6 +51,8 @@ def held_by_index(jobs: DataFrame, index: DataFrame) -> DataFrame:
 def existing_jobs(jobs: DataFrame, tasks: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """The jobs that some task name contains, case-sensitively; ``jobs`` must be distinct.
 
+    A name is cut once however many tasks have it, which also spreads the names of a few large files.
+
     With ``projects`` (``report_id, project_gid``) a report's jobs are looked for in the tasks of
     its own projects only; ``jobs`` and the result then have ``report_id, job_number``. The jobs
     should be a written table, so that their size is known and the planner picks the join.
@@ -63,9 +65,9 @@ def existing_jobs(jobs: DataFrame, tasks: DataFrame, projects: DataFrame | None
     names = tasks.filter(F.col("name") != "")
     if projects is None:
         # The jobs filter the pieces, which are far more; only pieces that are jobs are made distinct.
-        return name_pieces(names.select("name"), lengths).join(jobs, "job_number", "left_semi").distinct()
+        return name_pieces(names.select("name").distinct(), lengths).join(jobs, "job_number", "left_semi").distinct()
     searched = projects.select("report_id", "project_gid").distinct()
-    names = tasks_in_projects(names, searched).select("project_gid", "name")
+    names = tasks_in_projects(names, searched).select("project_gid", "name").distinct()
     wanted = materialise(jobs.join(searched, "report_id"), "wanted")
     anywhere = wanted.select("project_gid", "job_number").distinct()
     found = name_pieces(names, lengths).join(anywhere, ["project_gid", "job_number"], "left_semi").distinct()

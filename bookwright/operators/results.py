@@ -105,20 +105,21 @@ def status_counts(parent_rows: DataFrame, child_rows: DataFrame) -> DataFrame:
     return parents.unionByName(children).groupBy("report_id", "level", "status").agg(F.count("*").alias("n"))
 
 
-def run_summary(bookings: DataFrame, parent_rows: DataFrame, child_rows: DataFrame, unmatched: DataFrame) -> DataFrame:
+def run_summary(counts: DataFrame, parent_rows: DataFrame, child_rows: DataFrame, unmatched: DataFrame) -> DataFrame:
     """The counters of every report.
 
-    The four tables become one stream of (report, counter, status) rows, so one aggregation with
-    a partial step counts them all.
+    ``counts`` has ``report_id, rows``. The four tables become one stream of (report, counter, status) rows, so one
+    aggregation with a partial step counts them all.
     """
     none = F.lit("")
     events = (
-        bookings.select("report_id", F.lit("row").alias("level"), none.alias("status"))
-        .unionByName(parent_rows.select("report_id", F.lit("parent").alias("level"), "status"))
+        counts.select("report_id", F.lit("row").alias("level"), none.alias("status"), F.col("rows").alias("n"))
+        .unionByName(parent_rows.select("report_id", F.lit("parent").alias("level"), "status"), allowMissingColumns=True)
         .unionByName(
-            child_rows.select("report_id", F.lit("child").alias("level"), F.col("subtask_status").alias("status"))
+            child_rows.select("report_id", F.lit("child").alias("level"), F.col("subtask_status").alias("status")),
+            allowMissingColumns=True,
         )
-        .unionByName(unmatched.select("report_id", F.lit("unmatched").alias("level"), none.alias("status")))
+        .unionByName(unmatched.select("report_id", F.lit("unmatched").alias("level"), none.alias("status")), allowMissingColumns=True)
     )
 
     def counted(level: str, *statuses: str) -> Column:
@@ -126,7 +127,7 @@ def run_summary(bookings: DataFrame, parent_rows: DataFrame, child_rows: DataFra
         return F.count_if(hit & F.col("status").isin(*statuses) if statuses else hit)
 
     return events.groupBy("report_id").agg(
-        counted("row").alias("rows_parsed"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_parsed"),
         counted("parent").alias("parent_candidates"),
         counted("parent", S.WOULD_CREATE).alias("parent_would_create"),
         counted("parent", S.SKIP_EXISTS).alias("parent_skipped"),

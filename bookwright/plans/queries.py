@@ -283,14 +283,18 @@ def _date_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
 
 
+def _dated(rows: DataFrame, policy: str) -> DataFrame:
+    return D.lookup_due_date(rows, "raw", "due_on", policy, PIVOT_YEAR).withColumn("due_on", D.iso_text(F.col("due_on")))
+
+
 @query
 def due_on_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return _date_shapes(spark, sf).withColumn("due_on", D.due_on(F.col("raw"), "batch", PIVOT_YEAR))
+    return _dated(_date_shapes(spark, sf), "batch")
 
 
 @query
 def due_on_interactive(spark: SparkSession, sf: str) -> DataFrame:
-    return _date_shapes(spark, sf).withColumn("due_on", D.due_on(F.col("raw"), "interactive", PIVOT_YEAR))
+    return _dated(_date_shapes(spark, sf), "interactive")
 
 
 @query

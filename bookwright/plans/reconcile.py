@@ -18,16 +18,16 @@ from bookwright.session import materialise
 
 @dataclass(frozen=True)
 class Run:
-    """The frames of a run. ``children`` and ``parents`` are what live mode goes on with."""
+    """The frames of a run, none of which goes back to the reports. ``children`` and ``parents`` are what live mode goes on with."""
 
-    bookings: DataFrame
+    counts: DataFrame
     children: DataFrame
     parents: DataFrame
     child_rows: DataFrame
     unmatched: DataFrame
 
     def summary(self) -> DataFrame:
-        return R.run_summary(self.bookings, self.parents, self.child_rows, self.unmatched)
+        return R.run_summary(self.counts, self.parents, self.child_rows, self.unmatched)
 
     def tables(self) -> dict[str, DataFrame]:
         """The result tables by name, as the sinks take them."""
@@ -53,11 +53,13 @@ def dry_run(
     already exist; without it they are looked for in all tasks. ``earlier`` says which of the
     jobs (``job_number``, written) any report finds besides.
 
-    The reports are shuffled once, by campaign, job and reference, for the first-row rule. The
-    rows left are written down; candidates, dates, jobs and children all read from there.
+    The reports are read and shuffled once, by campaign, job and reference, for the first-row rule. The
+    rows left are written down with their counts; candidates, dates, jobs, children, unmatched items and the summary
+    all read from there.
     """
-    bookings = B.normalise(raw)
-    first = materialise(B.first_rows(bookings, date_policy, pivot_year), "first-rows")
+    written = materialise(B.counted_first_rows(B.normalise(raw), date_policy, pivot_year), "first-rows")
+    counts = B.report_counts(written, F.col("rows"))
+    first = written.filter(F.col("row_class") == "ok")
     source = B.children_of(first)
     candidates = B.parents_of(first)
     order_type = first.schema["row_ord"].dataType.simpleString()
@@ -69,7 +71,7 @@ def dry_run(
     dated = candidates.withColumn("parent_due_on", due)
     parents = materialise(R.parent_status(dated, existing), "parents")
     child_rows = R.child_results(parents, children)
-    return Run(bookings, children, parents, child_rows, B.unmatched_items(bookings))
+    return Run(counts, children, parents, child_rows, B.unmatched_lines(counts))
 
 
 def _existing(
