@@ -391,6 +391,20 @@ def all_oracles() -> dict[str, str]:
 SELECT report_id, array_to_string(missing, ', ') AS missing FROM (
   SELECT 'h' || o_orderkey AS report_id, [x FOR x IN [{_HEADERS}] IF x IS NOT NULL] AS missing FROM orders
 ) WHERE len(missing) > 0""",
+        "rejected_reports": _with(
+            _BOOKINGS,
+            """SELECT 'h' || n AS report_id,
+  CASE n % 7 WHEN 1 THEN 'missing_columns' WHEN 2 THEN 'no_rows' WHEN 3 THEN 'single_column' WHEN 4 THEN 'duplicate_columns'
+    WHEN 5 THEN 'text_after_quote' WHEN 6 THEN 'row_longer_than_header'
+    ELSE CASE WHEN c > 250 THEN 'too_many_candidates' ELSE 'ok' END END AS status,
+  CASE WHEN n % 7 = 0 THEN lines ELSE 0 END AS data_lines, CASE WHEN n % 7 = 0 THEN c ELSE 0 END AS candidates,
+  CASE WHEN n % 7 = 1 THEN 'OurRef, PropertyName, LocationText, SpecificationText, StartDate' ELSE '' END AS missing
+FROM (
+  SELECT o_custkey // 30 AS n, count(*) AS lines,
+    count(DISTINCT CASE WHEN campaign_name <> '' AND job_number <> '' THEN campaign_name || '|' || job_number END) AS c
+  FROM b JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+)""",
+        ),
         "oversize_reports": _with(
             _PARENTS,
             f"SELECT report_id, count(*) AS candidates FROM parents GROUP BY report_id HAVING count(*) > {OVERSIZE}",

@@ -23,7 +23,7 @@ from bookwright.plans import fixtures as V
 from bookwright.plans.reconcile import Run, dry_run, interactive_run, with_source_facts
 from bookwright.session import materialise, scratch_path
 from bookwright.sinks.tables import CSV_OPTIONS, write_intents, write_results
-from bookwright.sources.reports import read_reports, report_conformance
+from bookwright.sources.reports import read_reports, report_conformance, report_status, survey_reports
 from bookwright.sources.tasks import read_task_pages
 from bookwright.streaming import incremental as N
 
@@ -33,6 +33,8 @@ PIVOT_YEAR = 2026
 MAX_MESSAGES = 20
 OVERSIZE = 150
 PREVIEW_ROWS = 30
+REPORT_SIZE = 30
+MOST_CANDIDATES = 250
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -104,8 +106,8 @@ def read_reports_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _report_rows(read_reports(spark, _drop_folder(spark, sf, "csv", ",")))
 
 
-def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "UTF-8") -> None:
-    """Report files made of given lines, with the head lines above them.
+def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "UTF-8", rows: bool = True) -> None:
+    """Report files made of given lines, with the head lines above them; without ``rows``, of the head alone.
 
     A file holds one report's rows of at most eight thousand order keys, so no file grows with the data.
     """
@@ -113,8 +115,8 @@ def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "
     data = lines.select(*key, F.lit(len(head)).alias("at"), "line")
     above = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(text).alias("line")) for i, text in enumerate(head))))
     tops = data.select(*key).distinct().select(*key, above.alias("top")).select(*key, "top.at", "top.line")
-    placed = tops.unionByName(data).repartition(*key).sortWithinPartitions(*key, "at").drop("at")
-    options = CSV_OPTIONS | {"header": "false", "sep": "\u0001", "extension": "tsv", "encoding": encoding}
+    placed = (tops.unionByName(data) if rows else tops).repartition(*key).sortWithinPartitions(*key, "at").drop("at")
+    options = CSV_OPTIONS | {"header": "false", "sep": "\u0001", "quote": "", "escape": "\u0002", "extension": "tsv", "encoding": encoding}
     placed.write.partitionBy(*key).options(**options).csv(path)
 
 
@@ -169,6 +171,35 @@ def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("report_id", F.array_join("missing", ", ").alias("missing"))
 
 
+@query
+def rejected_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of report files in seven states, one row per report; good ones may have too many candidates."""
+    number = F.floor(F.col("o_custkey") / REPORT_SIZE)
+    orders = V.table(spark, sf, "orders").select("o_orderkey", number.alias("n"))
+    raw = V.bookings_raw(spark, sf).withColumn("k", F.col("row_ord.l_orderkey"))
+    raw = raw.join(orders, F.col("k") == F.col("o_orderkey")).withColumn("report_id", F.concat(F.lit("h"), F.col("n").cast("string")))
+    names = list(S.REQUIRED_COLUMNS)
+    columns = [F.col(c) for c in names]
+    first_lines = F.when(F.col("row_ord.l_linenumber") == 1, "\tmore").otherwise("")
+    states: list[tuple[list[str], Column, bool]] = [
+        (names, F.concat_ws("\t", *columns), True),
+        (names[:2], F.concat_ws("\t", *columns[:2]), True),
+        (names, F.concat_ws("\t", *columns), False),
+        ([";".join(names)], F.concat_ws(";", *columns), True),
+        ([*names, "JobNumber"], F.concat_ws("\t", *columns, F.lit("7")), True),
+        (names, F.concat_ws("\t", *columns[:6], F.concat(F.lit('"'), columns[6], F.lit('"x'))), True),
+        (names, F.concat(F.concat_ws("\t", *columns), first_lines), True),
+    ]
+    path = scratch_path(spark, "states")
+    raw = materialise(raw, "states-raw")
+    for i, (head, line, rows) in enumerate(states):
+        lines = raw.filter(F.col("n") % len(states) == i).select("report_id", F.floor(F.col("k") / 8000).alias("piece"), line.alias("line"))
+        _write_lines(lines, ["\t".join(head)], f"{path}/state={i}", rows=rows)
+    survey = survey_reports(spark, path)
+    parents = B.parent_candidates(B.normalise(read_reports(spark, path, survey=survey)))
+    return report_status(survey.profile, parents, MOST_CANDIDATES).drop("files", "rejected_files")
+
+
 @query
 def oversize_reports(spark: SparkSession, sf: str) -> DataFrame:
     return B.oversize_reports(B.parent_candidates(_bookings(spark, sf)), OVERSIZE)

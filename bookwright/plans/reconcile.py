@@ -26,6 +26,11 @@ class Run:
     child_rows: DataFrame
     unmatched: DataFrame
 
+    def without(self, reports: DataFrame) -> Run:
+        """The run but for some reports (``report_id``)."""
+        frames = (self.counts, self.children, self.parents, self.child_rows, self.unmatched)
+        return Run(*(f.join(reports, "report_id", "left_anti").select(*f.columns) for f in frames))
+
     def summary(self) -> DataFrame:
         return R.run_summary(self.counts, self.parents, self.child_rows, self.unmatched)
 

@@ -27,7 +27,7 @@ from bookwright.operators.results import child_results
 from bookwright.plans.reconcile import dry_run
 from bookwright.session import materialise
 from bookwright.sinks.tables import write_intents, write_results
-from bookwright.sources.reports import OK, Chosen, read_reports, report_id_of, survey_reports
+from bookwright.sources.reports import OK, OVERSIZE, Chosen, read_reports, report_id_of, report_status, survey_reports
 
 _TEXT_PARENT = ("report_id", *S.PARENT_COLUMNS)
 _PARENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("arrival", *_TEXT_PARENT)])
@@ -198,6 +198,8 @@ class Settings:
     skip_top_rows: int = 0
     pivot_year: int | None = None
     date_policy: str = "batch"
+    #: Reports with more parent candidates than this are rejected.
+    max_candidates: int | None = None
 
 
 def arrivals(files: DataFrame) -> DataFrame:
@@ -260,6 +262,12 @@ def process_group(spark: SparkSession, drop_dir: str, group: DataFrame, batch_id
         projects=_own(settings.projects(), group) if settings.projects else None,
         earlier=lambda jobs: ledger.held_before(jobs, batch_id),
     )
+    # One row per report, whatever came of it.
+    of_arrival = profile.join(files, "file_path").withColumn("report_id", F.col("arrival")).drop("arrival")
+    statuses = materialise(report_status(of_arrival, run.parents, settings.max_candidates), "statuses")
+    ledger.write(_named(statuses, group, again), "statuses", batch_id)
+    if settings.max_candidates is not None:
+        run = run.without(statuses.filter(F.col("status") == OVERSIZE).select("report_id"))
     lengths = sorted({*ledger.lengths_before(batch_id), *X.job_lengths(run.parents)})
     pieces = materialise(asked_titles(run.parents, lengths), "asked") if lengths else None
     claimed = claim_in_order(run.parents, group.select(F.col("arrival").alias("report_id"), "turn").distinct(), pieces)

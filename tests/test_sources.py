@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookwright import schema as S
+from bookwright.operators import bookings as B
 from bookwright.sources import reports as P
 from bookwright.sources.tasks import read_task_pages
 
@@ -189,3 +190,36 @@ def test_conformance_lists_missing_names_in_order(spark):
         ("a", ["CampaignName", "OurRef", "PropertyName", "LocationText", "SpecificationText"])
     ]
     assert df.filter(F.size("header") == 7).count() == 1
+
+
+def test_text_behind_a_closing_quote(spark, tmp_path):
+    """An error in tab files; in comma files it belongs to the cell."""
+    row = ["Camp", "1", '"a"b', "P", "L", "S", "06/01/2025"]
+    for name, sep in (("tab.tsv", "\t"), ("comma.csv", ",")):
+        (tmp_path / name).write_text(sep.join(S.REQUIRED_COLUMNS) + "\n" + sep.join(row) + "\n")
+    assert statuses(spark, tmp_path) == {"tab": P.STRAY, "comma": P.OK}
+
+
+def test_status_of_whole_reports(spark, tmp_path):
+    head = "\t".join(S.REQUIRED_COLUMNS) + "\n"
+    row = "\t".join(["Camp", "{}", "1", "P", "L", "S", "06/01/2025"]) + "\n"
+    files = {
+        "report_id=two/a.tsv": head,
+        "report_id=two/b.tsv": head + row.format(1),
+        "report_id=bare/a.tsv": head,
+        "report_id=big/a.tsv": head + row.format(1) + row.format(2) + row.format(3),
+        "report_id=part/a.tsv": "\t".join(S.REQUIRED_COLUMNS[1:]) + "\n" + row.format(1),
+        "report_id=part/b.tsv": head + row.format(1),
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    survey = P.survey_reports(spark, str(tmp_path))
+    parents = B.parent_candidates(B.normalise(P.read_reports(spark, str(tmp_path), survey=survey)))
+    got = {r.report_id: (r.status, r.files, r.rejected_files, r.candidates, r.missing) for r in P.report_status(survey.profile, parents, 2).collect()}
+    assert got == {
+        "two": (P.OK, 2, 0, 1, ""),
+        "bare": (P.EMPTY, 1, 0, 0, ""),
+        "big": (P.OVERSIZE, 1, 0, 3, ""),
+        "part": (P.MISSING, 2, 1, 1, "CampaignName"),
+    }

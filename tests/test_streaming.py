@@ -171,3 +171,46 @@ def test_a_title_that_is_not_created_holds_nothing(spark):
     turns = spark.createDataFrame([(f"r{i}", i) for i in range(1, 5)], "report_id string, turn int")
     got = {r.report_id: r.status for r in N.claim_in_order(df, turns).collect()}
     assert got == {"r1": S.WOULD_CREATE, "r2": S.SKIP_EXISTS, "r3": S.WOULD_CREATE, "r4": S.SKIP_EXISTS}
+
+
+def pieces_written(spark, ledger) -> dict:
+    """Batch and lateness to the lengths of the pieces in the index, and their number."""
+    index = spark.read.schema(N._PIECE_SCHEMA).parquet(f"{ledger.root}/title_pieces")
+    rows = index.groupBy("batch_id", "late").agg(F.sort_array(F.collect_set("length")).alias("l"), F.count("*").alias("n")).collect()
+    return {(r.batch_id, r.late): (r.l, r.n) for r in rows}
+
+
+def test_earlier_titles_are_not_cut_again(spark, place):
+    folder, run, _ = place
+    drop(folder / "drop", "a.tsv", ("Camp", "100", "1"), ("Tour", "2345", "1"))
+    first = pieces_written(spark, run())
+    titles = ["Camp (100)", "Tour (2345)"]
+    cut = lambda names, lengths: {t[i : i + n] for t in names for n in lengths for i in range(len(t) - n + 1)}
+    assert first == {(0, False): ([3, 4], len(cut(titles, [3, 4])))}
+
+    drop(folder / "drop", "b.tsv", ("Other", "777", "1"), ("Camp", "100", "1"))  # no new length
+    second = pieces_written(spark, run())
+    added = {k: v for k, v in second.items() if k not in first}
+    assert list(added.values()) == [([3, 4], len(cut(["Other (777)"], [3, 4])))]
+
+    drop(folder / "drop", "c.tsv", ("New", "34", "1"))  # a length that no job had before
+    ledger = run()
+    third = pieces_written(spark, ledger)
+    late = [v for (batch, is_late), v in third.items() if is_late]
+    assert late == [([2], len(cut([*titles, "Other (777)"], [2])))]
+    assert states(ledger)["c", "34"] == S.SKIP_EXISTS  # in the title of job 2345
+
+
+def test_statuses_of_all_reports(spark, place):
+    folder, _, settings = place
+    drop(folder / "drop", "a.tsv", ("Camp", "1", "1"), ("Camp", "2", "1"), ("Camp", "3", "1"))
+    drop(folder / "drop", "b.tsv", ("Camp", "888", "1"))
+    drop(folder / "drop", "empty.tsv")
+    (folder / "drop" / "bad.tsv").write_text("no header here\n")
+    from dataclasses import replace
+
+    paths = [str(folder / n) for n in ("drop", "check", "out")]
+    ledger = N.run_incremental(spark, *paths, replace(settings, max_candidates=2))
+    got = {r.report_id: r.status for r in spark.read.parquet(f"{ledger.root}/statuses").collect()}
+    assert got == {"a": "too_many_candidates", "b": "ok", "empty": "no_rows", "bad": "single_column"}
+    assert states(ledger) == {("b", "888"): S.WOULD_CREATE}
