@@ -6,7 +6,7 @@ report per 150 customers, one task per order, one message per event, one feed pe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookwright import schema as S
@@ -154,6 +154,63 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(e.alias("message_id"), F.inline(nodes))
 
 
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response page per order, chained within a hundred customers' orders; three of four chains have a fault.
+
+    Each has the offset it was asked for with. A page lacks in the middle, or the first one does, or the last leads back.
+    """
+    orders = table(spark, sf_dir, "orders")
+    group = F.floor(F.col("o_custkey") / 100)
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey"))
+    n = F.count("*").over(Window.partitionBy("g"))
+    pages = orders.select(group.alias("g"), "o_orderkey").withColumns({"i": rank, "n": n})
+    kind, i = F.col("g") % 4, F.col("i")
+    gone = ((kind == 1) & (i == 5)) | ((kind == 3) & (i == 1))
+    following = F.when(i < F.col("n"), F.concat(F.lit("o"), _text(i + 1))).when(kind == 2, "o2")
+    page = F.struct(
+        F.when(i > 1, F.concat(F.lit("o"), _text(i))).alias("offset"),
+        F.array(F.struct(_text(F.col("o_orderkey")).alias("gid"), F.concat(F.lit(" Job "), _text(F.col("o_orderkey"))).alias("name"))).alias("data"),
+        F.when(following.isNotNull(), F.struct(following.alias("offset"))).alias("next_page"),
+    )
+    return pages.filter(~gone).select(F.concat(F.lit("p"), _text(F.col("g"))).alias("project_gid"), F.to_json(page).alias("value"))
+
+
+def shared_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in two inboxes, under the same id."""
+    own = messages(spark, sf_dir)
+    return own.unionByName(own.withColumn("inbox_id", F.concat(F.lit("v "), "inbox_id")))
+
+
+def file_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of ``shared_messages`` with their data: a tab file in a single-byte encoding, and behind it a quoted comma file.
+
+    Of some messages the second file is empty, or no report; of some both are empty.
+    """
+    e = F.col("message_id")
+    names = ["CampaignName", "JobNumber", "OurRef", "PropertyName", "LocationText", "SpecificationText", "StartDate"]
+    cells = [F.lit("Camp"), _text(e), F.lit("1"), F.col("inbox_id"), F.lit("L"), F.lit("S"), F.lit("2025-01-02")]
+    tab = F.concat(F.lit("\t".join(names) + "\r\n"), F.concat_ws("\t", *cells[:4], F.lit("\u0080 5"), *cells[5:]))
+    row = F.concat_ws(",", F.lit('"Camp, ""new"""'), *cells[1:5], F.lit('"two\nlines"'), cells[6])
+    comma = F.concat(F.lit(",".join(names) + "\n"), row, F.lit("\n"), row, F.lit("\n"))
+    both = F.when(e % 5 == 0, F.lit("").cast("binary"))
+    none = F.lit("").cast("binary")
+
+    def node(number: int, parent: int | None, pos: int, filename: Column, att: str, content: Column) -> Column:
+        above = F.lit(None).cast("bigint") if parent is None else e * 10 + parent
+        data = F.rtrim(F.translate(F.base64(content), "+/\r\n", "-_"), F.lit("="))
+        return F.struct(
+            (e * 10 + number).alias("part_id"), above.alias("parent_id"), F.lit(pos).alias("pos"),
+            filename.alias("filename"), F.lit(att).alias("att_id"), data.alias("data"),
+        )
+
+    nodes = F.array(
+        node(0, None, 0, F.lit(""), "", none),
+        node(1, 0, 0, F.lit(" the report.TSV"), "x", both.otherwise(F.encode(tab, "ISO-8859-1"))),
+        node(2, 0, 1, F.when(e % 3 == 1, "b.png").otherwise("b.csv"), "y", F.when((e % 5 == 0) | (e % 3 == 0), none).otherwise(comma.cast("binary"))),
+    )
+    return shared_messages(spark, sf_dir).select("inbox_id", "message_id", F.inline(nodes))
+
+
 def ack_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the task service by job: created, failed in several ways, or created without an id."""
     key = F.col("o_orderkey")

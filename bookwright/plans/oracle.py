@@ -436,6 +436,39 @@ SELECT i.inbox_id,
     THEN 'no_supported_attachment' ELSE 'no_messages' END AS status,
   h.message_id, h.filename, h.att_id, h.subject, {_received("h.ms")} AS received_at
 FROM (SELECT DISTINCT inbox_id FROM messages) i LEFT JOIN hits h ON h.inbox_id = i.inbox_id AND h.rn = 1""",
+        "page_chain_status": """SELECT 'p' || g AS project_gid,
+  CASE WHEN g % 4 = 3 THEN 'no_first_page' WHEN g % 4 = 1 AND n >= 5 THEN 'missing_page'
+    WHEN g % 4 = 2 THEN CASE WHEN n = 1 THEN 'missing_page' ELSE 'cycle' END ELSE 'complete' END AS status,
+  n - CASE WHEN g % 4 = 3 OR (g % 4 = 1 AND n >= 5) THEN 1 ELSE 0 END AS pages,
+  CASE WHEN g % 4 = 3 THEN 0 WHEN g % 4 = 1 AND n >= 5 THEN 4 ELSE n END AS reached,
+  CASE WHEN g % 4 = 1 AND n >= 5 THEN 'o5' WHEN g % 4 = 2 AND n = 1 THEN 'o2' ELSE '' END AS missing,
+  CASE WHEN g % 4 = 3 THEN 0 WHEN g % 4 = 1 AND n >= 5 THEN 4 ELSE n END AS names
+FROM (SELECT o_custkey // 100 AS g, count(*) AS n FROM orders GROUP BY ALL) WHERE NOT (g % 4 = 3 AND n = 1)""",
+        "result_files": _with(
+            f"{_CHILD_RESULTS},{_UNMATCHED}",
+            f"""SELECT report_id, 'parent_task_results' AS "table", count(*) AS rows,
+    CAST(sum(length(concat({', '.join(S.PARENT_COLUMNS)}))) AS BIGINT) AS characters FROM parent_rows GROUP BY report_id
+UNION ALL
+SELECT report_id, 'subtask_results', count(*), CAST(sum(length(concat({', '.join(S.CHILD_COLUMNS)}))) AS BIGINT) FROM child_rows GROUP BY report_id
+UNION ALL
+SELECT report_id, 'unmatched_items', count(u.item), CAST(coalesce(sum(length(concat(u.item, u.reason))), 0) AS BIGINT)
+FROM (SELECT DISTINCT report_id FROM parent_rows) LEFT JOIN
+  (SELECT * FROM unmatched WHERE CAST(substr(report_id, 2) AS BIGINT) % 4 <> 0) u USING (report_id) GROUP BY report_id""",
+        ),
+        "attachment_rows": _with(
+            _MESSAGES,
+            f"""SELECT inbox AS report_id, unnest(CASE WHEN e % 3 = 2 THEN ['Camp, "new"', 'Camp, "new"'] ELSE ['Camp'] END) AS "CampaignName",
+  CAST(e AS VARCHAR) AS "JobNumber", '1' AS "OurRef", inbox AS "PropertyName",
+  CASE WHEN e % 3 = 2 THEN 'L' ELSE '€ 5' END AS "LocationText",
+  CASE WHEN e % 3 = 2 THEN 'two' || chr(10) || 'lines' ELSE 'S' END AS "SpecificationText", '2025-01-02' AS "StartDate"
+FROM (
+  SELECT inbox, e, row_number() OVER (PARTITION BY inbox ORDER BY n) AS first FROM (
+    SELECT inbox_id, message_id AS e, row_number() OVER (PARTITION BY inbox_id ORDER BY ms DESC, message_id) AS n
+    FROM messages WHERE message_id % 11 <> 0 AND message_id % 13 <> 0 AND event_type <> 'error'
+  ) AS newest, (VALUES ('', 1), ('v ', 2)) AS copies(mark, k), LATERAL (SELECT mark || inbox_id AS inbox)
+  WHERE n <= {MAX_MESSAGES} AND e % 5 <> 0
+) WHERE first = 1""",
+        ),
         "header_lookup": _with(_MESSAGES, "SELECT message_id, subject, '' AS reply_to FROM messages"),
         "received_at_iso": _with(_MESSAGES, f"SELECT message_id, {received} AS received_at FROM messages"),
         "payload_decode": "SELECT doc_id, text AS content FROM documents",

@@ -22,9 +22,10 @@ from bookwright.operators import results as R
 from bookwright.plans import fixtures as V
 from bookwright.plans.reconcile import Run, dry_run, interactive_run, with_source_facts
 from bookwright.session import materialise, scratch_path
-from bookwright.sinks.tables import CSV_OPTIONS, write_intents, write_results
-from bookwright.sources.reports import read_reports, report_conformance, report_status, survey_reports
-from bookwright.sources.tasks import read_task_pages
+from bookwright.sinks.tables import CSV_OPTIONS, TABLES, write_intents, write_results
+from bookwright.sources.reports import read_reports, report_conformance, report_id_of, report_status, survey_reports
+from bookwright.sources.tasks import chain_pages, read_pages, read_task_pages, task_names
+from bookwright.sources.tasks import page_chain_status as task_chains
 from bookwright.streaming import incremental as N
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +218,16 @@ def task_names_from_pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_task_pages(spark, path)
 
 
+@query
+def page_chain_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Which projects' stored pages are complete, and how many names the pages of their chain give."""
+    path = scratch_path(spark, "chains")
+    V.page_chains(spark, sf).write.partitionBy("project_gid").text(path)
+    chained = materialise(chain_pages(read_pages(spark, path)), "chained")
+    names = task_names(chained.filter("reached")).groupBy("project_gid").agg(F.count("*").alias("names"))
+    return task_chains(chained).join(names, "project_gid", "left").na.fill(0, ["names"])
+
+
 # --- inbox -----------------------------------------------------------------------------------
 
 
@@ -257,6 +268,14 @@ def latest_attachment(spark: SparkSession, sf: str) -> DataFrame:
     return I.latest_attachment(V.messages(spark, sf), V.parts(spark, sf), _selected(spark, sf), MAX_MESSAGES)
 
 
+@query
+def attachment_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the newest usable attachment of every inbox."""
+    messages = V.shared_messages(spark, sf)
+    chosen = I.latest_attachment(messages, V.file_parts(spark, sf), I.select_messages(messages, "booking report"), MAX_MESSAGES)
+    return _report_rows(I.attachment_rows(chosen))
+
+
 @query
 def header_lookup(spark: SparkSession, sf: str) -> DataFrame:
     headers = F.col("headers")
@@ -567,11 +586,38 @@ def ack_unwrap(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_results_csv(spark: SparkSession, sf: str) -> DataFrame:
     """All result tables written, and the child table read back."""
+    return _read_back(spark, _written_results(spark, sf), "subtask_results")
+
+
+def _written_results(spark: SparkSession, sf: str) -> str:
+    """The result tables as files; every fourth report lacks no key, so that its unmatched table is a header alone."""
     path = scratch_path(spark, "results")
-    write_results(_run(spark, sf).tables(), path)
-    columns = ", ".join(f"{c} string" for c in (*S.CHILD_COLUMNS, "report_id"))
-    back = spark.read.schema(columns).options(**CSV_OPTIONS).csv(f"{path}/subtask_results")
-    return back.na.fill("")
+    tables = _run(spark, sf).tables()
+    reports = tables["parent_task_results"].select("report_id").distinct()
+    whole = F.substring("report_id", 2, 20).cast("bigint") % 4 == 0
+    tables["unmatched_items"] = tables["unmatched_items"].filter(~whole)
+    write_results(tables, path, reports=reports)
+    return path
+
+
+def _read_back(spark: SparkSession, path: str, table: str) -> DataFrame:
+    columns = ", ".join(f"{c} string" for c in (*TABLES[table], "report_id"))
+    return spark.read.schema(columns).options(**CSV_OPTIONS).csv(f"{path}/{table}").na.fill("")
+
+
+@query
+def result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all three result tables as files: whether each report has one, its rows, and the characters in its cells."""
+    path = _written_results(spark, sf)
+    parts = []
+    for name, columns in TABLES.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{name}")
+        reports = files.select(report_id_of(F.col("_metadata.file_path")).alias("report_id")).distinct()
+        rows = _read_back(spark, path, name).groupBy("report_id")
+        size = F.char_length(F.concat(*(F.col(c) for c in columns)))
+        counted = rows.agg(F.count("*").alias("rows"), F.sum(size).alias("characters"))
+        parts.append(reports.join(counted, "report_id", "left").na.fill(0).withColumn("table", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query

@@ -210,6 +210,22 @@ def _content(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+
+
+def lines_of_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file_path, content`` to lines with their bytes, one piece per content; a line end at the end ends the last line."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            lines = _LINE_END.split(content.as_py() or b"")
+            if not lines[-1]:
+                lines.pop()
+            n = len(lines)
+            if n:
+                columns = [pa.repeat(pa.scalar(path, pa.string()), n), pa.repeat(pa.scalar(0, pa.int64()), n), pa.array(lines, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_path", "block", "value"])
+
+
 def _is_utf8(lines: pa.Array) -> bool:
     try:
         lines.cast(pa.string())

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bookwright import schema as S
 from bookwright.operators import inbox as I
 
 PARTS = "message_id bigint, part_id bigint, parent_id bigint, pos int, filename string, att_id string"
@@ -110,3 +111,37 @@ def test_ledger_and_custom_query(spark, inbox):
     ledger = spark.createDataFrame([(3,), (9,)], "message_id bigint")
     assert {r.message_id for r in I.select_messages(messages, "booking", ledger).collect()} == {1, 2, 10, 11}
     assert {r.message_id for r in I.select_messages(messages, query=F.col("message_id") < 3).collect()} == {1, 2}
+
+
+def test_attachments_become_rows(spark):
+    """Two inboxes share a message id; empty data and data of another kind are passed over."""
+    import base64
+
+    def data(text: str, encoding: str = "utf-8") -> str:
+        return base64.urlsafe_b64encode(text.encode(encoding)).decode().rstrip("=")
+
+    head = "\t".join(S.REQUIRED_COLUMNS)
+    row = "\t{}\t1\tP\tL\tS\t2025-01-02"
+    messages = [
+        (box, m, str(m), [("Subject", "booking report")], ["INBOX"], True) for box, m in (("a/ +%20b", 1), ("b", 1), ("b", 2), ("c", 3), ("d", 4))
+    ]
+    parts = [
+        ("a/ +%20b", 1, 1, None, 0, "own.tsv", "x", data(f"{head}\nCampé{row.format(1)}\n", "cp1252")),
+        ("b", 1, 1, None, 0, "", "", ""),
+        ("b", 1, 2, 1, 0, "old.xls", "x", data(f"{head}\r\nOld{row.format(2)}\r\n")),
+        ("b", 1, 3, 1, 1, "empty.tsv", "y", ""),
+        ("b", 2, 1, None, 0, "empty.csv", "x", None),
+        ("c", 3, 1, None, 0, "only.tsv", "x", ""),
+        ("d", 4, 1, None, 0, "broken.tsv", "x", "*no base64*"),
+    ]
+    columns = "inbox_id string, message_id bigint, part_id bigint, parent_id bigint, pos int, filename string, att_id string, data string"
+    mail, leaves = spark.createDataFrame(messages, MESSAGES), spark.createDataFrame(parts, columns)
+    chosen = I.latest_attachment(mail, leaves, I.select_messages(mail, "booking"))
+    assert {r.inbox_id: (r.status, r.message_id) for r in chosen.collect()} == {
+        "a/ +%20b": (I.FOUND, 1),
+        "b": (I.FOUND, 1),
+        "c": (I.NO_ATTACHMENT, None),
+        "d": (I.FOUND, 4),
+    }
+    rows = {(r.report_id, r.CampaignName, r.JobNumber) for r in I.attachment_rows(chosen).collect()}
+    assert rows == {("a/ +%20b", "Campé", "1"), ("b", "Old", "2")}
