@@ -53,7 +53,18 @@ def all_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> t
     return links, materialise(components(links), "roots")
 
 
-def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: tuple[int, int] = (0, 1)) -> tuple[DataFrame, DataFrame]:
+def _of_several_classes(members: DataFrame) -> DataFrame:
+    """The members of buckets (``bucket, root``) that hold more than one class."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
+    return materialise(members.join(several.select("bucket"), "bucket", "left_semi"), "members")
+
+
+def linked_classes(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    least: tuple[int, int] = (0, 1),
+    refile: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Verified links (``a, b``) among the members of buckets (``bucket, id, size``), and ``id, root`` of the linked ones.
 
     ``verify`` keeps the true ones of candidate pairs (``a, b``); pairs whose sizes have a lower ratio than ``least``
@@ -64,6 +75,9 @@ def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     bucket's lead is compared with all members of other classes; then, where members of several classes are
     left, the next ``MORE`` of them, and so on with ever more, until a bucket's members are of one class or all
     compared. So no link between classes is lost, and the rounds grow with the logarithm of what is left.
+
+    ``refile`` gives the members (``id``) left after the first comparison other buckets, ``bucket, id``, in which all true
+    pairs among them meet, and fewer others do.
     """
     links = members.sparkSession.createDataFrame([], members.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
     crowds = members.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -88,8 +102,11 @@ def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         rest = now.drop("root") if greatest else now.drop("root").join(first.select("bucket", F.col("lead_id").alias("id")), ["bucket", "id"], "left_anti")
         rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         rest = materialise(rest.select(*ranked.columns), "rest")
-        several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
-        now = materialise(rest.join(several.select("bucket"), "bucket", "left_semi"), "members")
+        now = _of_several_classes(rest)
+        if greatest and refile is not None and not now.isEmpty():
+            own = now.select(*(c for c in ranked.columns if c != "bucket")).distinct()
+            anew = refile(own.select("id")).join(own, "id").select(*ranked.columns)
+            now = _of_several_classes(materialise(anew, "refiled"))
         if now.isEmpty():
             return links.distinct(), roots
         leads, greatest = leads if greatest else leads * MORE, False

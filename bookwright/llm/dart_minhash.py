@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookwright.llm.byte_bpe import list_array
@@ -31,6 +31,8 @@ BAND_ROWS = 5
 BANDS = 28
 #: Similarity as a fraction of whole numbers, so that the comparison is exact.
 LEAST = (4, 5)
+#: Sizes in a class differ by this factor at most.
+SIZE_CLASS = 1.06
 FIRST_RANGE = -10  # ranks below 2 ** FIRST_RANGE are one range
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,6 +191,37 @@ def _cells_of(df: DataFrame) -> DataFrame:
     return map_texts(df.select("key", "text"), "text", "id bigint, cells array<int>", make)
 
 
+def _rare_buckets(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """``bucket, id`` of texts, by their rarest cells: two that are near duplicates meet, two that share a frequent passage don't.
+
+    Cells are put in one order for all, those in few of these texts first. Sizes ``n`` and ``m`` at similarity t or more
+    share t / (1 + t) of ``n + m`` cells, so at least one among the first of each text but for that many, less one. How many
+    these are depends on the other's size; so a text is filed once for each class of sizes that its partners may have, with the
+    least size of that class. Cells of one text alone take up places in that count, but file nothing.
+    """
+    up, down = LEAST
+    n = F.col("n")
+    each = own.join(ids, "id", "left_semi").select("id", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    counts = materialise(each.groupBy("cell").agg(F.count("*").alias("texts")).filter(F.col("texts") > 1), "counts")
+    shared = each.join(counts, "cell").groupBy("id", "n")
+    order = F.sort_array(F.collect_list(F.struct("texts", F.xxhash64("cell").alias("hash"), "cell")))
+    ordered = shared.agg(order.alias("cells"))
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / F.lit(math.log(SIZE_CLASS))).cast("int")
+
+    smallest, largest = F.ceil(n * up / down), F.floor(n * down / up)
+    classes = F.sequence(size_class(smallest) - 1, size_class(largest) + 1)
+    filed = ordered.withColumn("other", F.explode(classes))
+    floor = F.floor(F.pow(F.lit(SIZE_CLASS), F.col("other")) * (1 - 1e-9)).cast("int")
+    common = F.ceil(F.lit(up) * (n + F.greatest(floor, smallest.cast("int"))) / (up + down)).cast("int")
+    first = n - common + 1 - (n - F.size("cells"))
+    filed = filed.withColumn("first", F.least(first, F.size("cells"))).filter(F.col("first") > 0)
+    cell = filed.select("id", size_class(n).alias("own"), "other", F.explode(F.slice("cells", F.lit(1), F.col("first"))).alias("c"))
+    pair = F.xxhash64("c.cell", F.least("own", "other"), F.greatest("own", "other"))
+    return cell.select(pair.alias("bucket"), "id").distinct()
+
+
 def first_of_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows with the least id of each class of near duplicates; of equal rows, one."""
     found = near_classes(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_key").distinct()
@@ -225,7 +258,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         either = F.size("cells_a") + F.size("cells_b") - both
         return pairs.join(left, "a").join(right, "b").filter(both * LEAST[1] >= either * LEAST[0])
 
-    _, roots = linked_classes(members, verify, LEAST)
+    _, roots = linked_classes(members, verify, LEAST, lambda ids: _rare_buckets(own, ids))
     rows = signed.select("doc_id", "text_key", "key").join(roots.withColumnRenamed("id", "key"), "key", "left")
     rows = rows.select("doc_id", "text_key", F.coalesce("root", "key").alias("root"))
     per_class = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"))
