@@ -53,9 +53,16 @@ def all_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> t
     return links, materialise(components(links), "roots")
 
 
+#: Members of this side of a bucket meet all others, those of another side only the members of other sides.
+BOTH = 2
+
+
 def _of_several_classes(members: DataFrame) -> DataFrame:
-    """The members of buckets (``bucket, root``) that hold more than one class."""
-    several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high"))
+    """The members of buckets (``bucket, root, side``) that hold more than one class, on more than one side."""
+    ends = members.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("side").alias("first"), F.max("side").alias("last")
+    )
+    several = ends.filter((F.col("low") < F.col("high")) & ((F.col("first") < F.col("last")) | (F.col("last") == BOTH)))
     return materialise(members.join(several.select("bucket"), "bucket", "left_semi"), "members")
 
 
@@ -76,22 +83,23 @@ def linked_classes(
     left, the next ``MORE`` of them, and so on with ever more, until a bucket's members are of one class or all
     compared. So no link between classes is lost, and the rounds grow with the logarithm of what is left.
 
-    ``refile`` gives the members (``id``) left after the first comparison other buckets, ``bucket, id``, in which all true
-    pairs among them meet, and fewer others do.
+    ``refile`` gives the members (``id``) left after the first comparison other buckets, ``bucket, id, side``, in which all
+    true pairs among them meet, and fewer others do.
     """
     links = members.sparkSession.createDataFrame([], members.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
     crowds = members.groupBy("bucket").agg(F.count("*").alias("n"))
     met_by = members.join(crowds, "bucket").groupBy("id").agg(F.sum("n").alias("meets"))
-    ranked = members.join(met_by, "id").select("bucket", "id", "size", "meets", F.col("id").alias("root"))
+    ranked = members.join(met_by, "id").select("bucket", "id", "size", "meets", F.col("id").alias("root"), F.lit(BOTH).alias("side"))
     now, roots, leads, greatest = materialise(ranked, "members"), None, 1, True
     while True:
         # Tasks hand on only the first members of each bucket that they hold.
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("meets"), "id"))
         first = now.withColumn("place", place).filter(F.col("place") <= leads)
-        first = first.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("id", "root", "size", "meets")))
+        first = first.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("id", "root", "size", "meets", "side")))
         first = materialise(first, "leads")
         sizes = F.least("size", "lead_size") * least[1] >= F.greatest("size", "lead_size") * least[0]
-        met = now.join(first, "bucket").filter((F.col("id") != F.col("lead_id")) & (F.col("root") != F.col("lead_root")) & sizes)
+        sides = (F.col("side") != F.col("lead_side")) | (F.col("side") == BOTH)
+        met = now.join(first, "bucket").filter((F.col("id") != F.col("lead_id")) & (F.col("root") != F.col("lead_root")) & sizes & sides)
         if greatest:
             met = met.groupBy("id").agg(F.max_by("lead_id", F.struct("lead_meets", "lead_id")).alias("lead_id"))
         pairs = met.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
@@ -104,7 +112,7 @@ def linked_classes(
         rest = materialise(rest.select(*ranked.columns), "rest")
         now = _of_several_classes(rest)
         if greatest and refile is not None and not now.isEmpty():
-            own = now.select(*(c for c in ranked.columns if c != "bucket")).distinct()
+            own = now.select(*(c for c in ranked.columns if c not in ("bucket", "side"))).distinct()
             anew = refile(own.select("id")).join(own, "id").select(*ranked.columns)
             now = _of_several_classes(materialise(anew, "refiled"))
         if now.isEmpty():

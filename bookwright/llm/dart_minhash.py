@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bookwright.llm.byte_bpe import list_array
 from bookwright.llm.common import map_texts, same_row, text_key, text_or_empty
-from bookwright.llm.components import linked_classes
+from bookwright.llm.components import BOTH, linked_classes
 from bookwright.session import materialise
 
 WORDS = 5
@@ -192,12 +192,12 @@ def _cells_of(df: DataFrame) -> DataFrame:
 
 
 def _rare_buckets(own: DataFrame, ids: DataFrame) -> DataFrame:
-    """``bucket, id`` of texts, by their rarest cells: two that are near duplicates meet, two that share a frequent passage don't.
+    """``bucket, id, side`` of texts, by their rarest cells: two that are near duplicates meet, two that share a frequent passage don't.
 
     Cells are put in one order for all, those in few of these texts first. Sizes ``n`` and ``m`` at similarity t or more
     share t / (1 + t) of ``n + m`` cells, so at least one among the first of each text but for that many, less one. How many
     these are depends on the other's size; so a text is filed once for each class of sizes that its partners may have, with the
-    least size of that class. Cells of one text alone take up places in that count, but file nothing.
+    least size of that class, and meets only those partners. Cells of one text alone take up places in that count, but file nothing.
     """
     up, down = LEAST
     n = F.col("n")
@@ -219,7 +219,8 @@ def _rare_buckets(own: DataFrame, ids: DataFrame) -> DataFrame:
     filed = filed.withColumn("first", F.least(first, F.size("cells"))).filter(F.col("first") > 0)
     cell = filed.select("id", size_class(n).alias("own"), "other", F.explode(F.slice("cells", F.lit(1), F.col("first"))).alias("c"))
     pair = F.xxhash64("c.cell", F.least("own", "other"), F.greatest("own", "other"))
-    return cell.select(pair.alias("bucket"), "id").distinct()
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(BOTH)
+    return cell.select(pair.alias("bucket"), "id", side.alias("side")).distinct()
 
 
 def first_of_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,3 +120,46 @@ def test_no_link_in_a_bucket_is_lost(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = {r.id: r.root for r in roots.collect()}
     assert {i: got.get(i, i) for i in range(60)} == root
+
+
+def test_rare_buckets_keep_all_links(spark):
+    """Every pair at 0.8 or more meets, whatever the sizes; texts around one passage don't."""
+    rng = random.Random(6)
+    sets = []
+    for _ in range(25):
+        base = set(rng.sample(range(100_000), rng.choice([1, 2, 3, 5, 9, 30, 120, 300])))
+        sets.append(base)
+        for _ in range(5):
+            own = set(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 7))):
+                own.discard(rng.choice(sorted(own)))
+                if rng.random() < 0.6:
+                    own.add(rng.randrange(100_000))
+            sets.append(own or {1})
+    passage = set(range(200_000, 200_170))
+    first = len(sets)
+    sets += [passage | set(range(300_000 + 100 * i, 300_000 + 100 * i + 30)) for i in range(60)]  # 0.74 among each other
+    own = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, cells array<int>")
+    buckets: dict = {}
+    for r in D._rare_buckets(own, own.select("id")).collect():
+        buckets.setdefault(r.bucket, set()).add((r.id, r.side))
+    met = {(a, b) for ids in buckets.values() for a, s in ids for b, t in ids if a < b and (s != t or s == C.BOTH)}
+    true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(true) > 100 and true <= met
+    assert not any(a >= first for a, _ in met)
+
+
+def test_passages_and_near_copies_together(spark):
+    """Texts that meet in bands through a passage, with near copies among them, against all pairs."""
+    rng = random.Random(9)
+    passage = words(rng, 150)
+    rows = []
+    for i in range(40):
+        own = words(rng, rng.randint(15, 30))
+        rows.append((i, passage + " " + own))
+        if i % 4 == 0:
+            rows.append((100 + i, passage + " " + own + " " + words(rng, 3)))
+        if i % 10 == 0:
+            rows += [(1000 + 10 * i + k, words(rng, 2) + " " + passage + " " + own) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in D.near_classes(df).collect()} == class_ids(rows)
