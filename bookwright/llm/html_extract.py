@@ -64,14 +64,56 @@ _REPLIES = {"comment", "comments", "discussion", "disqus", "respond"}
 _SIGNAL = set("article body content entry main post story text".split())
 
 
+# Words beside a mark that say the element only has, lacks or frames what is named: has-sidebar, no-comments, ad-free.
+_BESIDE_BEFORE = set("has have hide is no non not show with without".split())
+_BESIDE_AFTER = set("above active below closed count disabled enabled free hidden left off on open page right".split())
+#: An element dropped by its name alone is taken for the page's frame if nothing else is left and it holds so much.
+FRAME_CHARS = 200
+
+
 @dataclass
 class Page:
-    """Containers with their paths and parents, and blocks of text with the container each stands in."""
+    """Containers with their paths and parents, and blocks of text with the container each stands in.
+
+    A path is a number: that of the path above and the container's own step make the next. Few are ever spelled out.
+    """
 
-    paths: list[str] = field(default_factory=lambda: ["page"])
+    path_ids: list[int] = field(default_factory=lambda: [0])
     parents: list[int] = field(default_factory=lambda: [-1])
     weights: list[float] = field(default_factory=lambda: [0.5])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, characters in links
+    steps: list[tuple[int, str]] = field(default_factory=lambda: [(-1, "page")])  # of a path: the one above, and its last step
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+    #: Elements dropped for their class or id or as a form, in order: characters outside links within.
+    frames: dict[int, int] = field(default_factory=dict)
+
+    def add(self, container: int, step: str, weight: float) -> int:
+        key = (self.path_ids[container], step)
+        if key not in self.known:
+            self.known[key] = len(self.steps)
+            self.steps.append(key)
+        self.path_ids.append(self.known[key])
+        self.parents.append(container)
+        self.weights.append(weight)
+        return len(self.parents) - 1
+
+    def spelled(self, path: int) -> str:
+        parts = []
+        while path >= 0:
+            path, step = self.steps[path]
+            parts.append(step)
+        return ">".join(reversed(parts))
+
+    def find(self, spelled: str | None) -> int | None:
+        """The number of a path, if the page has it."""
+        if spelled is None:
+            return None
+        at: int | None = 0
+        for step in spelled.split(">")[1:]:
+            at = self.known.get((at, step))
+            if at is None:
+                return None
+        return at
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -82,28 +124,54 @@ def _words(*values: str) -> set[str]:
     return {w.lower() for value in values for w in _WORD.findall(value)}
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
+def _marks(value: str) -> set[str]:
+    """The words of a class or id that name what it is, not what it has, lacks or frames."""
+    found = set()
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not words or words[0] in _BESIDE_BEFORE or len(words) > 1 and words[-1] in _BESIDE_AFTER:
+            continue
+        found.update(words)
+    return found
+
+
+def _noise(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is no part of an article; and whether it may yet prove to be the page's frame."""
     if tag in _DROPPED:
-        return True
+        return True, tag == "form"
     if not attrs:
-        return False
+        return False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = _words(attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))
+        return True, False
     if tag in ("html", "body", "main"):
-        return False
-    return bool(words & (_REPLIES if tag == "article" else _NOISE))
+        return False, False
+    marks = _marks(attrs.get("class", "")) | _marks(attrs.get("id", "")) | _words(attrs.get("role", ""))
+    noise = bool(marks & (_REPLIES if tag == "article" else _NOISE))
+    return noise, noise and not marks & _REPLIES
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
     classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split()})
-    return ".".join([tag, *classes])
+    return ".".join([tag, *classes]).replace(">", "")
 
 
 def parse(text: str) -> Page:
+    """The page; if nothing is left of it, once more with the largest dropped frame kept."""
+    page = _parsed(text, -1)
+    if not page.blocks and page.frames:
+        frame = max(page.frames, key=lambda i: (page.frames[i], -i))
+        if page.frames[frame] >= FRAME_CHARS:
+            return _parsed(text, frame)
+    return page
+
+
+def _parsed(text: str, kept: int) -> Page:
+    """``kept`` is the number of the dropped frame that is none."""
     page = Page()
     stack: list[list] = []  # tag, container before it, whether it opened dropped content, whether it is a link
+    open_tags: dict[str, int] = defaultdict(int)
     container, dropped, links = 0, 0, 0
+    frame = frames = -1  # the frame being dropped, and the number of the last one
     inline: list[str] = []
     in_links = 0
 
@@ -117,12 +185,15 @@ def parse(text: str) -> Page:
 
     def pop() -> None:
         nonlocal container, dropped, links
-        _, container, drops, link = stack.pop()
+        tag, container, drops, link = stack.pop()
+        open_tags[tag] -= 1
         dropped -= drops
         links -= link
 
     def close(tag: str, until: set[str]) -> None:
         """Ends the nearest open ``tag`` and all within, unless an element of ``until`` lies in between."""
+        if not open_tags[tag]:
+            return
         for at in range(len(stack) - 1, -1, -1):
             if stack[at][0] == tag:
                 while len(stack) > at:
@@ -135,6 +206,8 @@ def parse(text: str) -> Page:
     while True:
         token = _TOKEN.search(text, at)
         stop = token.start() if token else len(text)
+        if dropped and frame >= 0 and not links and stop > at:
+            page.frames[frame] += len(text[at:stop].strip())
         if not dropped and stop > at:
             run = html.unescape(text[at:stop])
             inline.append(run)
@@ -161,19 +234,26 @@ def parse(text: str) -> Page:
                         close(own, _ENDS[tag][1])
             if tag in _VOID:
                 continue
-            drops = _is_noise(tag, attrs)
+            drops, may_frame = _noise(tag, attrs)
             if drops and not dropped:
-                flush()
+                if may_frame:
+                    frames += 1
+                    drops = frames != kept
+                if drops:
+                    flush()
+                frame = frames if may_frame and drops else -1
+                if frame >= 0:
+                    page.frames[frame] = 0
+            elif drops:
+                may_frame = False
             stack.append([tag, container, drops, tag == "a"])
+            open_tags[tag] += 1
             dropped += drops
             links += tag == "a"
             if tag in _CONTAINERS and not dropped:
-                step = _step(tag, attrs)
-                page.paths.append(f"{page.paths[container]}>{step}")
-                page.parents.append(container)
                 signal = _words(attrs.get("class", ""), attrs.get("id", "")) & _SIGNAL
-                page.weights.append(3.0 if tag in ("article", "main") else 0.5 if tag in ("html", "body") else 2.0 if signal else 1.0)
-                container = len(page.paths) - 1
+                weight = 3.0 if tag in ("article", "main") else 0.5 if tag in ("html", "body") else 2.0 if signal else 1.0
+                container = page.add(container, _step(tag, attrs), weight)
         elif tag := token["end"]:
             tag = tag.lower()
             if not dropped and (tag not in _INLINE or tag == "p"):
@@ -190,7 +270,7 @@ def parse(text: str) -> Page:
 
 def scores(page: Page) -> list[float]:
     """Text outside links that stands in each container, a half of it in the next one up and so on."""
-    found = [0.0] * len(page.paths)
+    found = [0.0] * len(page.parents)
     for at, text, in_links in page.blocks:
         gain = max(0.0, len(text) - 2.0 * in_links)
         while at >= 0 and gain >= 0.01:
@@ -200,26 +280,24 @@ def scores(page: Page) -> list[float]:
 
 
 def votes(page: Page) -> dict[str, int]:
-    best: dict[str, float] = defaultdict(float)
-    for path, score in zip(page.paths, scores(page), strict=True):
+    best: dict[int, float] = defaultdict(float)
+    for path, score in zip(page.path_ids, scores(page), strict=True):
         best[path] = max(best[path], score)
     top = max(best.values(), default=0)
-    return {path: round(VOTE * score / top) for path, score in best.items() if top and score * 2 * VOTE >= top}
+    return {page.spelled(path): round(VOTE * score / top) for path, score in best.items() if top and score * 2 * VOTE >= top}
 
 
 def main_text(page: Page, path: str | None) -> str:
     """The blocks in the containers at ``path``, or else in the page's own best container."""
-    chosen = {i for i, p in enumerate(page.paths) if p == path}
-    if not chosen:
+    wanted = page.find(path)
+    chosen = [p == wanted for p in page.path_ids]
+    if wanted is None or not any(chosen):
         own = scores(page)
-        chosen = {max(range(len(own)), key=own.__getitem__)}
-    inside = []
-    for at, text, _ in page.blocks:
-        while at >= 0 and at not in chosen:
-            at = page.parents[at]
-        if at >= 0:
-            inside.append(text)
-    return "\n".join(inside)
+        chosen = [False] * len(own)
+        chosen[max(range(len(own)), key=own.__getitem__)] = True
+    for i in range(1, len(chosen)):  # a container comes after the one it stands in
+        chosen[i] = chosen[i] or chosen[page.parents[i]]
+    return "\n".join(text for at, text, _ in page.blocks if chosen[at])
 
 
 def host(url: Column) -> Column:

@@ -39,6 +39,45 @@ def test_deep_and_long_pages():
     assert X.main_text(X.parse("<a '" * 20000), None) == ""
 
 
+ARTICLE = "A long paragraph of the story that this page is about, as it goes on. " * 6
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<div class='content has-sidebar'>{}</div>", "<div class='post no-comments'>{}</div>", "<article class='post comments-open'>{}</article>",
+        "<div class='page with-banner'>{}</div>", "<section class='story ad-free'>{}</section>", "<div id='navigation-page'>{}</div>",
+        "<form action='/'>{}</form>", "<div class='banner'>{}</div>",
+    ],
+)
+def test_frames_keep_the_article(frame):
+    page = X.parse("<body><nav>Home</nav>" + frame.format(f"<p>{ARTICLE}</p><div class='sidebar'>More</div>") + "<footer>end</footer>")
+    assert X.main_text(page, None) == ARTICLE.strip()
+
+
+@pytest.mark.parametrize("noise", ["<nav>{}</nav>", "<div class='comments'>{}</div>", "<div hidden class='sidebar'>{}</div>", "<aside>{}</aside>"])
+def test_pages_without_an_article_stay_empty(noise):
+    assert X.main_text(X.parse("<body>" + noise.format(f"<p>{ARTICLE}</p>")), None) == ""
+    page = X.parse("<body><p>Short story.</p>" + noise.format(f"<p>{ARTICLE}</p>"))
+    assert X.main_text(page, None) == "Short story."
+
+
+def test_deep_pages_with_classes():
+    """Time and memory grow with the page, not with its square."""
+    import time
+    import tracemalloc
+
+    page = "".join(f"<div class='level-{i} deep'>" for i in range(8000)) + ARTICLE
+    tracemalloc.start()
+    start = time.time()
+    parsed = X.parse(page)
+    taken = time.time() - start
+    text = X.main_text(parsed, max(X.votes(parsed), key=len))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text == ARTICLE.strip() and taken < 4 and peak < 50_000_000
+
+
 def test_the_host_decides(spark):
     long = "words that fill the story of this page " * 5
     page = "<body><div class='story-{n}'><p>{a}</p></div><div class='list'><p>{b}</p></div>"
