@@ -14,6 +14,14 @@ from bookwright import schema as S
 REPORT_CUSTOMERS = 150
 EMPTY_PATH = "array<int>"
 
+# Cell texts that a reader of whole files takes for missing; stated here apart from the engine's own list.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+# Texts that look like them and are not.
+PRESENT_TEXTS = (" NA", "na", "Null", "none", "-", "NAN", "N/A ", "#n/a", "0", "nan nan", ".")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,6 +83,12 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cell_texts(key: Column) -> Column:
+    """One after the other of the texts that are missing cells, and of those that are not."""
+    texts = F.array(*(F.lit(t) for t in (*MISSING_TEXTS, *PRESENT_TEXTS)))
+    return F.get(texts, F.pmod(key, F.lit(len(MISSING_TEXTS) + len(PRESENT_TEXTS))).cast("int"))
+
+
 def existing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task names over three projects; some blank, none trimmed."""
     orders = table(spark, sf_dir, "orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bookwright import schema as S
+from bookwright.plans.fixtures import MISSING_TEXTS, PRESENT_TEXTS
 
 PIVOT_YEAR = 2026
 MAX_MESSAGES = 20
@@ -12,7 +13,7 @@ PREVIEW_ROWS = 30
 _WS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_NA = ", ".join("'" + t + "'" for t in S.NA_TOKENS)
+_NA = ", ".join("'" + t + "'" for t in MISSING_TEXTS)
 
 
 def _strip(x: str) -> str:
@@ -367,7 +368,10 @@ FROM summary s LEFT JOIN (
 
 def all_oracles() -> dict[str, str]:
     raw = _with(_RAW, f"SELECT {_RAW_COLUMNS} FROM raw")
-    filled = ", ".join(f'{_fill(chr(34) + c + chr(34))} AS "{c}"' for c in S.REQUIRED_COLUMNS if c != "OurRef")
+    filled = ", ".join(f'{_fill(chr(34) + c + chr(34))} AS "{c}"' for c in S.REQUIRED_COLUMNS if c not in ("OurRef", "PropertyName"))
+    texts = "[" + ", ".join(f"'{t}'" for t in (*MISSING_TEXTS, *PRESENT_TEXTS)) + "]"
+    place = f"(l_partkey + l_linenumber) % {len(MISSING_TEXTS) + len(PRESENT_TEXTS)} + 1"
+    filled += f""", CASE WHEN {place} <= {len(MISSING_TEXTS)} THEN '' ELSE {texts}[{place}] END AS "PropertyName\""""
     marked = _RAW_COLUMNS.replace(
         '"PropertyName"',
         '"PropertyName" || CASE WHEN report_id < \'r4\' THEN chr(8364) ELSE chr(129) END || \'é\' AS "PropertyName"',
@@ -378,6 +382,20 @@ def all_oracles() -> dict[str, str]:
     orders_back = {n: f"strftime({_minus_weekdays('d', n)}, '%Y-%m-%d') AS minus_{n}" for n in (0, 1, 4, 5, 11)}
     skipped = f"CASE WHEN p.status = '{S.SKIP_EXISTS}' THEN"
     ready = f"p.status = '{S.CREATED}' AND p.parent_task_gid <> ''"
+    answered = f"""{_CHILD_INTENTS},
+answers AS (
+  SELECT *, n % 5 = 0 AS failed, CASE WHEN n % 7 = 0 THEN '' ELSE 'c' || our_ref END AS gid
+  FROM (SELECT *, length(payload) + length(job_number) AS n FROM intents) WHERE n % 11 <> 0
+)"""
+    final = f"""SELECT {_CHILD_BASE},
+  {skipped} '{S.PARENT_SKIP_EXISTS}' WHEN NOT ({ready}) THEN '{S.ERROR_PARENT_NOT_CREATED}'
+    WHEN a.failed THEN '{S.ERROR_SUBTASK_CREATE}' WHEN a.failed IS NOT NULL THEN '{S.CREATED}' ELSE '{S.WOULD_CREATE}' END AS subtask_status,
+  CASE WHEN {ready} AND NOT a.failed THEN a.gid ELSE '' END AS subtask_gid,
+  {skipped} '{S.MESSAGE_SKIPPED}' WHEN NOT ({ready}) THEN '{S.MESSAGE_NO_PARENT}'
+    WHEN a.failed THEN 'API error 500: down' WHEN a.failed IS NOT NULL THEN '{S.MESSAGE_CREATED}' ELSE '' END AS message
+FROM children c JOIN outcome p ON {_CHILD_JOIN}
+  LEFT JOIN answers a ON a.report_id = c.report_id AND a.campaign_name = c.campaign_name AND a.job_number = c.job_number
+    AND a.our_ref = c.our_ref AND a.subtask_name = c.subtask_name"""
     return {
         "read_reports_tsv": raw,
         "read_reports_csv": raw,
@@ -556,21 +574,25 @@ FROM parent_rows JOIN feeds USING (report_id) WHERE status = '{S.WOULD_CREATE}'"
         ),
         "parent_outcomes": _with(_OUTCOMES, "SELECT * FROM outcome"),
         "child_intents": _with(_CHILD_INTENTS, "SELECT * FROM intents"),
-        "child_outcomes": _with(
-            f"""{_CHILD_INTENTS},
-answers AS (
-  SELECT *, n % 5 = 0 AS failed, CASE WHEN n % 7 = 0 THEN '' ELSE 'c' || our_ref END AS gid
-  FROM (SELECT *, length(payload) + length(job_number) AS n FROM intents) WHERE n % 11 <> 0
+        "child_outcomes": _with(answered, final),
+        "summary_text_live": _with(
+            f"""{answered},
+final AS ({final}),{_UNMATCHED},{_MESSAGES},
+summary AS (
+  SELECT r.report_id, r.n AS rows_parsed, p.n AS parent_candidates, p.w AS parent_would_create, p.s AS parent_skipped,
+    p.c AS parent_created, p.e AS parent_errors, c.n AS subtask_rows, c.w AS subtask_would_create, c.c AS subtask_created,
+    c.e AS subtask_errors, coalesce(u.n, 0) AS unmatched_items
+  FROM (SELECT report_id, count(*) AS n FROM b GROUP BY report_id) r
+  LEFT JOIN (SELECT report_id, count(*) AS n, count(*) FILTER (status = '{S.WOULD_CREATE}') AS w,
+      count(*) FILTER (status = '{S.SKIP_EXISTS}') AS s, count(*) FILTER (status = '{S.CREATED}') AS c,
+      count(*) FILTER (status = '{S.ERROR_PARENT_CREATE}') AS e FROM outcome GROUP BY report_id) p USING (report_id)
+  LEFT JOIN (SELECT report_id, count(*) AS n, count(*) FILTER (subtask_status = '{S.WOULD_CREATE}') AS w,
+      count(*) FILTER (subtask_status = '{S.CREATED}') AS c,
+      count(*) FILTER (subtask_status IN ('{S.ERROR_PARENT_NOT_CREATED}', '{S.ERROR_SUBTASK_CREATE}')) AS e
+    FROM final GROUP BY report_id) c USING (report_id)
+  LEFT JOIN (SELECT report_id, count(*) AS n FROM unmatched GROUP BY report_id) u USING (report_id)
 )""",
-            f"""SELECT {_CHILD_BASE},
-  {skipped} '{S.PARENT_SKIP_EXISTS}' WHEN NOT ({ready}) THEN '{S.ERROR_PARENT_NOT_CREATED}'
-    WHEN a.failed THEN '{S.ERROR_SUBTASK_CREATE}' WHEN a.failed IS NOT NULL THEN '{S.CREATED}' ELSE '{S.WOULD_CREATE}' END AS subtask_status,
-  CASE WHEN {ready} AND NOT a.failed THEN a.gid ELSE '' END AS subtask_gid,
-  {skipped} '{S.MESSAGE_SKIPPED}' WHEN NOT ({ready}) THEN '{S.MESSAGE_NO_PARENT}'
-    WHEN a.failed THEN 'API error 500: down' WHEN a.failed IS NOT NULL THEN '{S.MESSAGE_CREATED}' ELSE '' END AS message
-FROM children c JOIN outcome p ON {_CHILD_JOIN}
-  LEFT JOIN answers a ON a.report_id = c.report_id AND a.campaign_name = c.campaign_name AND a.job_number = c.job_number
-    AND a.our_ref = c.our_ref AND a.subtask_name = c.subtask_name""",
+            _SUMMARY_TEXT.replace("{received}", _received("ms")).replace("Dry Run", "Live Create").replace("DRY_RUN", "LIVE_CREATE"),
         ),
         "ack_error_text": _with(_ACK, "SELECT job_number, error FROM ack WHERE failed"),
         "ack_unwrap": _with(

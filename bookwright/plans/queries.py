@@ -162,7 +162,9 @@ def clean_header(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fill_missing(spark: SparkSession, sf: str) -> DataFrame:
-    raw = V.bookings_raw(spark, sf).select("report_id", *S.REQUIRED_COLUMNS)
+    """Every text that counts as a missing cell, and texts that do not, besides those of the bookings."""
+    raw = V.bookings_raw(spark, sf).withColumn("PropertyName", V.cell_texts(F.col("row_ord.l_partkey") + F.col("row_ord.l_linenumber")))
+    raw = raw.select("report_id", *S.REQUIRED_COLUMNS)
     return B.fill_missing(raw.withColumn("OurRef", F.nullif("OurRef", F.lit(" "))))
 
 
@@ -502,9 +504,8 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.status_counts(run.parents, run.child_rows)
 
 
-@query
-def summary_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The summaries, with the newest message of the inboxes that feed each report as source."""
+def _with_facts(spark: SparkSession, sf: str, summary: DataFrame) -> DataFrame:
+    """Summaries with the newest message of the inboxes that feed each report as source."""
     messages = V.messages(spark, sf).select(
         F.concat(F.lit("r"), V.report_number(F.substring("inbox_id", 2, 20).cast("bigint")).cast("string")).alias("report_id"),
         P.header_value(F.col("headers"), "subject").alias("subject"),
@@ -519,7 +520,12 @@ def summary_text(spark: SparkSession, sf: str) -> DataFrame:
             "report_id", F.lit("100, 101,102").alias("dedupe_ids"), F.lit("").alias("target_project")
         )
     )
-    return R.summary_text(with_source_facts(_run(spark, sf).summary(), source, projects))
+    return with_source_facts(summary, source, projects)
+
+
+@query
+def summary_text(spark: SparkSession, sf: str) -> DataFrame:
+    return R.summary_text(_with_facts(spark, sf, _run(spark, sf).summary()))
 
 
 # --- live mode -------------------------------------------------------------------------------
@@ -568,6 +574,16 @@ def child_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return _child_table(O.child_outcomes(parents, children, _child_acks(O.child_intents(parents, children))))
 
 
+@query
+def summary_text_live(spark: SparkSession, sf: str) -> DataFrame:
+    """The summaries after the calls: what was created, what failed, what is still out."""
+    run = _run(spark, sf)
+    parents = materialise(O.parent_outcomes(run.parents, _parent_acks(spark, sf, run.parents)), "outcomes")
+    children = O.child_outcomes(parents, run.children, _child_acks(O.child_intents(parents, run.children)))
+    summary = R.run_summary(run.counts, parents, children, run.unmatched)
+    return R.summary_text(_with_facts(spark, sf, summary), "LIVE_CREATE")
+
+
 @query
 def ack_error_text(spark: SparkSession, sf: str) -> DataFrame:
     failed = V.ack_bodies(spark, sf).filter(F.col("code") >= 400)
