@@ -112,3 +112,19 @@ def test_weekdays_match_the_loop(spark):
 def test_unknown_policy():
     with pytest.raises(ValueError):
         D.due_date(None, "other")
+
+
+@pytest.mark.parametrize("policy", D.POLICIES)
+def test_compiled_steps_equal_the_one_expression(spark, policy):
+    """Over rows in which texts repeat, with nulls, and without an interpreted function in the plan."""
+    texts = [
+        None, "", " ", "TBC", "2025-01-02", "2025-13-02", "2025-01-02T10:00", "02/01/2025", "13.02.2025", "02-13-2025", "1 Jan 25",
+        "January 5, 2025", "Fri 3rd of Jan 2025 at 10 am", "20250102", "20251302", "250102", "Jan 2025", "2025", "25", "5/2025", "1/2/3/4",
+        "99999999", "0001-01-01", "3000-01-01", "x1y2", "1.2.25 23:59:59Z",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "i int, raw string")
+    want = {r.i: r.due for r in df.select("i", D.due_date(F.col("raw"), policy, 2026).alias("due")).collect()}
+    for dated in (D.with_due_date(df, "raw", "due", policy, 2026), D.lookup_due_date(df, "raw", "due", policy, 2026)):
+        assert dated.columns == ["i", "raw", "due"]
+        assert {r.i: r.due for r in dated.collect()} == want
+        assert "lambda" not in dated._jdf.queryExecution().toString()
