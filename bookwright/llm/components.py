@@ -90,7 +90,7 @@ def linked_classes(
     crowds = members.groupBy("bucket").agg(F.count("*").alias("n"))
     met_by = members.join(crowds, "bucket").groupBy("id").agg(F.sum("n").alias("meets"))
     ranked = members.join(met_by, "id").select("bucket", "id", "size", "meets", F.col("id").alias("root"), F.lit(BOTH).alias("side"))
-    now, roots, leads, greatest = materialise(ranked, "members"), None, 1, True
+    now, roots, leads, greatest, refiled = materialise(ranked, "members"), None, 1, True, False
     while True:
         # Tasks hand on only the first members of each bucket that they hold.
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("meets"), "id"))
@@ -111,10 +111,11 @@ def linked_classes(
         rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         rest = materialise(rest.select(*ranked.columns), "rest")
         now = _of_several_classes(rest)
-        if greatest and refile is not None and not now.isEmpty():
+        again = refile is not None and not refiled and not now.isEmpty()
+        if again:
             own = now.select(*(c for c in ranked.columns if c not in ("bucket", "side"))).distinct()
             anew = refile(own.select("id")).join(own, "id").select(*ranked.columns)
-            now = _of_several_classes(materialise(anew, "refiled"))
+            now, refiled = _of_several_classes(materialise(anew, "refiled")), True
         if now.isEmpty():
             return links.distinct(), roots
-        leads, greatest = leads if greatest else leads * MORE, False
+        leads, greatest = leads if greatest else leads * MORE, again
