@@ -57,14 +57,15 @@ def flatten_parts(parts: DataFrame) -> DataFrame:
 
     Leaves are visited in reverse document order, that is by ``path`` descending. The paths of
     the containers grow by pointer doubling, so a tree of depth d takes log2(d) joins, and each
-    round is cut off with a reliable checkpoint.
+    round is cut off with a reliable checkpoint. The joins are merges: what the planner takes for the size of the parts is
+    that of the files they come from, and a table it holds for small would go through the driver.
     """
     message = _message_key(parts)
     key = [*message, "part_id"]
     with_children = parts.filter(F.col("parent_id").isNotNull()).select(*message, F.col("parent_id").alias("part_id"))
     with_children = with_children.distinct()
-    leaves = parts.join(with_children, key, "left_anti")
-    containers = parts.join(with_children, key, "left_semi").select(
+    leaves = parts.join(with_children.hint("merge"), key, "left_anti")
+    containers = parts.join(with_children.hint("merge"), key, "left_semi").select(
         *key,
         F.col("parent_id").alias("up"),
         F.when(F.col("parent_id").isNotNull(), F.array("pos")).otherwise(F.array().cast("array<int>")).alias("path"),
@@ -80,7 +81,7 @@ def flatten_parts(parts: DataFrame) -> DataFrame:
             *message, F.col("part_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head")
         )
         known = (
-            known.join(above, [*message, "up"], "left")
+            known.join(above.hint("merge"), [*message, "up"], "left")
             .select(
                 *key,
                 F.col("next").alias("up"),
@@ -92,7 +93,7 @@ def flatten_parts(parts: DataFrame) -> DataFrame:
         raise ValueError("the parts of a message form a cycle")
     heads = known.select(*message, F.col("part_id").alias("parent_id"), F.col("path").alias("head"))
     own = F.when(F.col("parent_id").isNotNull(), F.array("pos")).otherwise(F.array().cast("array<int>"))
-    return leaves.join(heads, [*message, "parent_id"], "left").select(
+    return leaves.join(heads.hint("merge"), [*message, "parent_id"], "left").select(
         *parts.columns, F.concat(F.coalesce("head", F.array().cast("array<int>")), own).alias("path")
     )
 

@@ -50,6 +50,14 @@ def test_leaf_order_equals_the_stack_walk(spark):
     assert got == want
 
 
+def test_part_trees_do_not_go_through_the_driver(spark, tmp_path):
+    rows = [(m, 10 * m + n, None if n == 0 else 10 * m + n - 1, 0, "", "a") for m in range(20) for n in range(4)]
+    spark.createDataFrame(rows, PARTS).write.parquet(str(tmp_path / "parts"))  # small as a file, and so taken for small
+    leaves = I.flatten_parts(spark.read.parquet(str(tmp_path / "parts")))
+    assert leaves.count() == 20
+    assert "Broadcast" not in leaves._jdf.queryExecution().toString()
+
+
 def test_a_cycle_is_an_error(spark):
     rows = [(1, 1, 2, 0, "", ""), (1, 2, 1, 0, "", ""), (1, 3, 2, 0, "x.csv", "a")]
     with pytest.raises(ValueError, match="cycle"):
