@@ -123,3 +123,11 @@ def test_labels(spark):
 def test_unprocessed(spark):
     inputs = spark.createDataFrame([("a",), ("b",)], "report_id string")
     assert [r[0] for r in L.unprocessed(inputs, inputs.filter(F.col("report_id") == "a")).collect()] == ["b"]
+
+
+def test_intents_take_one_file_a_report_not_one_a_task(spark, tmp_path):
+    rows = [(f"r{n % 20}", "C", str(n), "{}") for n in range(400)]
+    intents = spark.createDataFrame(rows, "report_id string, campaign_name string, job_number string, payload string").repartition(8)
+    write_intents(intents, str(tmp_path / "i"))
+    assert len(list((tmp_path / "i").rglob("*.json"))) <= 20 + 4
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "i")).select("report_id", "job_number").collect()) == sorted((r[0], r[2]) for r in rows)
