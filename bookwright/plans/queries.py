@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +89,9 @@ def _due_as_text(df: DataFrame) -> DataFrame:
 def _drop_folder(spark: SparkSession, sf: str, extension: str, separator: str) -> str:
     """The bookings as report files, one folder per report and any number of files in it."""
     path = scratch_path(spark, "drop")
-    raw = V.bookings_raw(spark, sf).select("report_id", *S.REQUIRED_COLUMNS)
-    writer = raw.write.partitionBy("report_id").options(**CSV_OPTIONS)
+    raw = V.bookings_raw(spark, sf).select("report_id", *S.REQUIRED_COLUMNS, F.col("row_ord.l_orderkey").alias("k"))
+    # Neighbouring reports share a task, so that there is not one file per report and task.
+    writer = raw.repartitionByRange("report_id", "k").drop("k").write.partitionBy("report_id").options(**CSV_OPTIONS)
     writer.options(sep=separator, extension=extension).csv(path)
     return path
 
@@ -107,18 +110,33 @@ def read_reports_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _report_rows(read_reports(spark, _drop_folder(spark, sf, "csv", ",")))
 
 
+def _below_head(batches: Iterator[pa.RecordBatch], head: list[str], rows: bool) -> Iterator[pa.RecordBatch]:
+    """``report_id, at, line`` with the head lines of every report that a task has; ``at`` is what to sort by."""
+    seen: set[str | None] = set()
+    names = ["report_id", "at", "line"]
+    for batch in batches:
+        reports, lines = batch.column(0), batch.column(1)
+        new = [r for r in reports.unique().to_pylist() if r not in seen]
+        seen.update(new)
+        tops = [(r, i, text) for r in new for i, text in enumerate(head)]
+        columns = list(zip(*tops)) or [(), (), ()]
+        types = (pa.string(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([reports, pa.repeat(pa.scalar(len(head), pa.int32()), len(lines)), lines], names=names)
+
+
 def _write_lines(lines: DataFrame, head: list[str], path: str, encoding: str = "UTF-8", rows: bool = True) -> None:
     """Report files made of given lines, with the head lines above them; without ``rows``, of the head alone.
 
-    A file holds one report's rows of at most eight thousand order keys, so no file grows with the data.
+    Neighbouring reports share a task, and a large report is spread over several by its pieces; so there are no more files
+    than reports and tasks together.
     """
-    key = ["report_id", "piece"]
-    data = lines.select(*key, F.lit(len(head)).alias("at"), "line")
-    above = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(text).alias("line")) for i, text in enumerate(head))))
-    tops = data.select(*key).distinct().select(*key, above.alias("top")).select(*key, "top.at", "top.line")
-    placed = (tops.unionByName(data) if rows else tops).repartition(*key).sortWithinPartitions(*key, "at").drop("at")
+    ranged = lines.repartitionByRange("report_id", "piece").select("report_id", "line")
+    placed = ranged.mapInArrow(partial(_below_head, head=head, rows=rows), "report_id string, at int, line string")
+    placed = placed.sortWithinPartitions("report_id", "at").drop("at")
     options = CSV_OPTIONS | {"header": "false", "sep": "\u0001", "quote": "", "escape": "\u0002", "extension": "tsv", "encoding": encoding}
-    placed.write.partitionBy(*key).options(**options).csv(path)
+    placed.write.partitionBy("report_id").options(**options).csv(path)
 
 
 def _tsv_lines(raw: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from bookwright import schema as S
 from bookwright.operators import bookings as B
+from bookwright.plans import fixtures as V
+from bookwright.plans import queries as Q
 from bookwright.sources import reports as P
 from bookwright.sources.tasks import read_task_pages
 
@@ -223,3 +225,22 @@ def test_status_of_whole_reports(spark, tmp_path):
         "big": (P.OVERSIZE, 1, 0, 3, ""),
         "part": (P.MISSING, 2, 1, 1, "CampaignName"),
     }
+
+
+def test_written_reports_have_no_file_per_piece_or_task(spark, tmp_path, monkeypatch):
+    lines = [(f"r{n % 20}", n // 40, ROW.replace("\t2\t", f"\t{n}\t")) for n in range(400)]
+    data = spark.createDataFrame(lines, "report_id string, piece bigint, line string").repartition(8)
+    Q._write_lines(data, ["top", HEAD], str(tmp_path / "lines"))
+    assert len(list((tmp_path / "lines").rglob("*.tsv"))) <= 20 + 4
+    got = read(spark, tmp_path / "lines", skip_top_rows=1)
+    assert sorted((r[0], r[3]) for r in got) == sorted((f"r{n % 20}", str(n)) for n in range(400))
+    Q._write_lines(data, [HEAD], str(tmp_path / "bare"), rows=False)
+    assert {p.read_text().strip() for p in (tmp_path / "bare").rglob("*.tsv")} == {HEAD}
+
+    columns = ", ".join(f"{c} string" for c in ("report_id", *S.REQUIRED_COLUMNS))
+    raw = spark.createDataFrame([(r, *line.split("\t")) for r, _, line in lines], columns).withColumn("row_ord", F.expr("named_struct('l_orderkey', int(OurRef))"))
+    monkeypatch.setattr(V, "bookings_raw", lambda *_: raw.repartition(8))
+    monkeypatch.setattr(Q, "scratch_path", lambda *_: str(tmp_path / "drop"))
+    Q._drop_folder(spark, "", "tsv", "\t")
+    assert len(list((tmp_path / "drop").rglob("*.tsv"))) <= 20 + 4
+    assert sorted((r[0], r[3]) for r in read(spark, tmp_path / "drop")) == sorted((f"r{n % 20}", str(n)) for n in range(400))
