@@ -178,6 +178,32 @@ def test_existence_is_by_substring_and_exact(spark):
     assert X.existing_jobs(job_df.limit(0), task_df).count() == 0
 
 
+def test_search_cuts_equal_pieces_once(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, real=X.materialise):
+        written.append((name, real(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(X, "materialise", counted)
+    rng = random.Random(8)
+    names = [f"Done (77{rng.randrange(100):02d}1234567) v{n % 4}" for n in range(400)]
+    jobs = sorted({n[at : at + k] for n in names[:9] for k in (2, 3, 7) for at in (6, 8, 11)} | {"5555555", "98", "1 3"[:1]})
+    found = X.existing_jobs(spark.createDataFrame([(j,) for j in jobs], "job_number string"), spark.createDataFrame([("1", n) for n in names], "project_gid string, name string"))
+    assert {r[0] for r in found.collect()} == {j for j in jobs if any(j in n for n in names)}
+    pieces = {n[at : at + k] for n in names for k in (1, 2, 3, 7) for at in range(len(n) - k + 1)}
+    rows = sum(df.count() for name, df in written if name == "pieces")
+    # The characters around the numbers are in no job; and what the names share is cut once.
+    assert 0 < rows < len(pieces) < 400 * 4 * 12
+
+
+def test_names_that_are_no_utf8_are_searched_as_they_are(spark):
+    tasks = spark.sql("SELECT '1' AS project_gid, cast(x'41FF3737' AS string) AS name")
+    jobs = spark.sql("SELECT explode(array('77', '78', cast(x'FF37' AS string))) AS job_number")
+    found = X.existing_jobs(jobs, tasks).selectExpr("hex(cast(job_number AS binary))")
+    assert {r[0] for r in found.collect()} == {"3737", "FF37"}
+
+
 def test_existence_needs_no_nested_loop(spark, tasks):
     jobs = spark.createDataFrame([("1",), ("12",)], "job_number string")
     projects = spark.createDataFrame([("r", "1")], "report_id string, project_gid string")
