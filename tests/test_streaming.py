@@ -214,3 +214,48 @@ def test_statuses_of_all_reports(spark, place):
     got = {r.report_id: r.status for r in spark.read.parquet(f"{ledger.root}/statuses").collect()}
     assert got == {"a": "too_many_candidates", "b": "ok", "empty": "no_rows", "bad": "single_column"}
     assert states(ledger) == {("b", "888"): S.WOULD_CREATE}
+
+
+def test_the_index_has_pieces_of_job_characters_only(spark, place):
+    """A job with a new character, or a new length, has the earlier titles cut anew."""
+    folder, run, _ = place
+    drop(folder / "drop", "a.tsv", ("Campaign of A-77", "12345", "1"))
+    ledger = run()
+
+    def pieces() -> list[str]:
+        schema = "key bigint, job_number string, length int"
+        return sorted(r.job_number for r in spark.read.schema(schema).parquet(f"{ledger.root}/title_pieces").collect())
+
+    assert pieces() == ["12345"]  # not every place of the title
+    drop(folder / "drop", "b.tsv", ("B", "1234", "1"), ("B", "A-77", "1"), ("B", "A-78", "1"), ("B", "paign", "1"))
+    run()
+    assert {k: v for k, v in states(ledger).items() if k[0] == "b"} == {
+        ("b", "1234"): S.SKIP_EXISTS,
+        ("b", "A-77"): S.SKIP_EXISTS,
+        ("b", "A-78"): S.WOULD_CREATE,
+        ("b", "paign"): S.SKIP_EXISTS,
+    }
+    drop(folder / "drop", "c.tsv", ("C", "345", "1"), ("C", "78", "1"), ("C", "of A", "1"), ("C", "f B", "1"))
+    run()
+    assert {k: v for k, v in states(ledger).items() if k[0] == "c"} == {
+        ("c", "345"): S.SKIP_EXISTS,
+        ("c", "78"): S.SKIP_EXISTS,
+        ("c", "of A"): S.SKIP_EXISTS,
+        ("c", "f B"): S.WOULD_CREATE,
+    }
+
+
+def test_more_characters_than_an_index_is_cut_at(spark, place, monkeypatch):
+    from bookwright.operators import existing as X
+
+    monkeypatch.setattr(X, "MOST_CHARACTERS", 3)
+    folder, run, _ = place
+    drop(folder / "drop", "a.tsv", ("Camp", "12", "1"))
+    ledger = run()
+    drop(folder / "drop", "b.tsv", ("B", "am", "1"), ("B", "zz", "1"))
+    run()
+    drop(folder / "drop", "c.tsv", ("C", "mp", "1"), ("C", "Ca", "1"), ("C", "xy", "1"))
+    run()
+    assert {k[1]: v for k, v in states(ledger).items()} == {
+        "12": S.WOULD_CREATE, "am": S.SKIP_EXISTS, "zz": S.WOULD_CREATE, "mp": S.SKIP_EXISTS, "Ca": S.SKIP_EXISTS, "xy": S.WOULD_CREATE,
+    }
