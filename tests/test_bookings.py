@@ -297,3 +297,18 @@ def test_summary_text_without_source_facts(spark, rows, tasks):
         lines = text.split("\n")
         assert lines[0] == f"Daily Trafficking {word} Summary" and lines[1] == "" and lines[-1] == ""
         assert lines[6] == f"Mode: {mode}" and len(lines) == 20
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_dates_are_read_once_a_text(spark, monkeypatch, most):
+    """By the dictionary, or row by row where texts are too many for it: the same, and from a written table."""
+    monkeypatch.setattr(B, "MOST_DATES", most)
+    days = ["TBC", "2025-03-01", "05/03/2025", "", "1 Mar 2025", "05/03/2025"]
+    rows = [("r", "C", str(i), "1" if i % 4 else "", "p", "l", "s", days[i % 6], i) for i in range(24)]
+    first = B.counted_first_rows(B.normalise(spark.createDataFrame(rows, RAW)), "batch", 2026)
+    assert {(r.job_number, str(r.due) if r.due else None) for r in first.collect()} == {
+        (str(i), DATES.get(days[i % 6]) if i % 4 else None) for i in range(24)
+    }
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "SortAggregate" not in plan
+    assert ("BroadcastHashJoin" in plan) == (most > 0)

@@ -131,3 +131,13 @@ def test_intents_take_one_file_a_report_not_one_a_task(spark, tmp_path):
     write_intents(intents, str(tmp_path / "i"))
     assert len(list((tmp_path / "i").rglob("*.json"))) <= 20 + 4
     assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "i")).select("report_id", "job_number").collect()) == sorted((r[0], r[2]) for r in rows)
+
+
+def test_a_small_table_of_many_reports_is_written_by_all_cores(spark, tmp_path):
+    rows = [(f"r{i:03}", 1, S.UNMATCHED_ITEM, "1 rows missing JobNumber") for i in range(40)]
+    df = spark.createDataFrame(rows, "report_id string, line int, item string, reason string")
+    write_results({"unmatched_items": df}, str(tmp_path / "out"))
+    parts = {p.name.split("-")[1] for p in (tmp_path / "out" / "unmatched_items").rglob("part-*.csv")}
+    assert len(parts) > 1
+    got = spark.read.option("header", True).csv(str(tmp_path / "out" / "unmatched_items"))
+    assert got.count() == 40 and got.select("report_id").distinct().count() == 40
