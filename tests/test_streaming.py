@@ -216,33 +216,25 @@ def test_statuses_of_all_reports(spark, place):
     assert states(ledger) == {("b", "888"): S.WOULD_CREATE}
 
 
-def test_the_index_has_pieces_of_job_characters_only(spark, place):
-    """A job with a new character, or a new length, has the earlier titles cut anew."""
-    folder, run, _ = place
-    drop(folder / "drop", "a.tsv", ("Campaign of A-77", "12345", "1"))
-    ledger = run()
+def test_claims_look_only_where_a_job_can_be(spark):
+    """Titles are cut at the characters that no job has; beyond as many characters, they are not."""
+    row = ("r", "Campaign of A-77 (12345)", "Campaign of A-77", "12345", "", S.WOULD_CREATE, S.REASON_NEW, "")
+    df = spark.createDataFrame([row], ", ".join(f"{c} string" for c in ("report_id", *S.PARENT_COLUMNS)))
+    held = lambda characters: [r.job_number for r in N.asked_pieces(df, [4, 5], characters).collect()]
+    assert sorted(held([*"12345"])) == ["1234", "12345", "2345"]
+    assert sorted(held([*"A-7"])) == ["A-77"]
+    assert len(held(None)) == 21 + 20
 
-    def pieces() -> list[str]:
-        schema = "key bigint, job_number string, length int"
-        return sorted(r.job_number for r in spark.read.schema(schema).parquet(f"{ledger.root}/title_pieces").collect())
 
-    assert pieces() == ["12345"]  # not every place of the title
-    drop(folder / "drop", "b.tsv", ("B", "1234", "1"), ("B", "A-77", "1"), ("B", "A-78", "1"), ("B", "paign", "1"))
-    run()
-    assert {k: v for k, v in states(ledger).items() if k[0] == "b"} == {
-        ("b", "1234"): S.SKIP_EXISTS,
-        ("b", "A-77"): S.SKIP_EXISTS,
-        ("b", "A-78"): S.WOULD_CREATE,
-        ("b", "paign"): S.SKIP_EXISTS,
-    }
-    drop(folder / "drop", "c.tsv", ("C", "345", "1"), ("C", "78", "1"), ("C", "of A", "1"), ("C", "f B", "1"))
+def test_later_jobs_of_new_characters_are_found(spark, place):
+    folder, run, _ = place
+    drop(folder / "drop", "a.tsv", ("Campaign of A-77", "12345", "1"))
     run()
-    assert {k: v for k, v in states(ledger).items() if k[0] == "c"} == {
-        ("c", "345"): S.SKIP_EXISTS,
-        ("c", "78"): S.SKIP_EXISTS,
-        ("c", "of A"): S.SKIP_EXISTS,
-        ("c", "f B"): S.WOULD_CREATE,
-    }
+    drop(folder / "drop", "b.tsv", ("B", "2345", "1"), ("B", "A-77", "1"), ("B", "A-78", "1"), ("B", "paign", "1"))
+    ledger = run()
+    assert {k[1]: v for k, v in states(ledger).items() if k[0] == "b"} == {
+        "2345": S.SKIP_EXISTS, "A-77": S.SKIP_EXISTS, "A-78": S.WOULD_CREATE, "paign": S.SKIP_EXISTS,
+    }
 
 
 def test_more_characters_than_an_index_is_cut_at(spark, place, monkeypatch):
