@@ -80,24 +80,41 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Dictionary(dict):
-    """Token number of each word and count of the frequent ones, from their hashes; words are hashed once.
+    """A number for each word: its place in ``tokens`` and ``counts`` if it is a frequent one; those of others go on from there.
 
-    Gives (token, count) for a word of the dictionary and (TAIL, None) for another.
+    ``by_hash`` has the frequent words' token and count by hash. The last place in ``tokens`` and ``logs`` is for all other words.
+    Words are hashed once, and ``hashes`` has those of the others; ``begin`` forgets them where they have become many.
     """
 
     def __init__(self, by_hash: dict[int, tuple[int, int]]):
         super().__init__()
-        self.by_hash = by_hash
+        self.places, self.hashes = {h: i for i, h in enumerate(by_hash)}, []
+        self.tokens = np.array([token for token, _ in by_hash.values()] + [G.TAIL], np.int32)
+        self.counts = np.array([c for _, c in by_hash.values()] + [0], np.int64)
+        self.logs = np.log10(self.counts + 1.0)
 
-    def __missing__(self, word: bytes) -> tuple[int, int | None]:
+    def begin(self) -> None:
         if len(self) > COUNT_WORDS:
             self.clear()
-        self[word] = found = self.by_hash.get(word_hash(word), (G.TAIL, None))
+            self.hashes.clear()
+
+    def __missing__(self, word: bytes) -> int:
+        h = word_hash(word)
+        found = self.places.get(h)
+        if found is None:
+            found = len(self.places) + len(self.hashes)
+            self.hashes.append(h)
+        self[word] = found
         return found
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def _tokens(texts: list[str], words: Dictionary) -> list[np.ndarray]:
-    return [np.array([words[w][0] for w in words_of(t)], np.int32) for t in texts]
+    words.begin()
+    last = len(words.places)
+    return [words.tokens[np.minimum(words.of(words_of(t)), last)] for t in texts]
 
 
 def _averaged(rows: DataFrame) -> np.ndarray | None:
@@ -143,28 +160,28 @@ class BlockScores:
     """
 
     def __init__(self, texts: list[str], words: Dictionary, net: G.Net, end: int):
-        n = len(texts)
+        n, last = len(texts), len(words.places)
         self.n_tokens, self.n_known, self.n_tail = (np.zeros(n, np.int64) for _ in range(3))
         self.logs, self.tail_logs = np.zeros(n), np.zeros(n)
-        rare: dict[bytes, int] = {}
-        docs, codes, times, tokens = [], [], [], []
+        words.begin()
+        tokens, rare, docs = [], [], []
         for i, text in enumerate(texts):
-            own = words_of(text)
-            found = [words[w] for w in own]
-            token = np.array([f[0] for f in found], np.int32)
-            count = np.array([-1 if f[1] is None else f[1] for f in found], np.float64)
+            numbers = words.of(words_of(text))
+            places = np.minimum(numbers, last)
+            token, logs = words.tokens[places], words.logs[places]
             tokens.append(token)
-            met, tail = count >= 0, token == G.TAIL
-            logs = np.log10(np.where(met, count, 0.0) + 1)
-            self.n_tokens[i], self.n_known[i], self.n_tail[i] = len(own), int((count > 0).sum()), int(tail.sum())
+            tail = token == G.TAIL
+            self.n_tokens[i], self.n_tail[i] = len(token), np.count_nonzero(tail)
+            self.n_known[i] = np.count_nonzero(words.counts[places])
             self.logs[i], self.tail_logs[i] = logs.sum(), logs[tail].sum()
-            unmet = Counter(w for w, m in zip(own, met.tolist(), strict=True) if not m)
-            docs += [i] * len(unmet)
-            codes += [rare.setdefault(w, len(rare)) for w in unmet]
-            times += unmet.values()
+            rare.append(numbers[places == last] - last)
+            docs.append(np.full(len(rare[-1]), i))
         self.score = net.score(tokens, end) / math.log(10)
-        self.hashes = np.fromiter(map(word_hash, rare), np.int64, len(rare))
-        self.triples = np.array([docs, codes, times], np.int64)
+        numbers, docs = np.concatenate([*rare, np.zeros(0, np.int64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
+        own, at = np.unique(numbers, return_inverse=True)
+        pairs, times = np.unique(docs * (len(own) + 1) + at, return_counts=True)
+        self.hashes = np.array(words.hashes, np.int64)[own]
+        self.triples = np.array([pairs // (len(own) + 1), pairs % (len(own) + 1), times], np.int64)
 
     def by_group(self, groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Group, hashes of its words, and (text, word among them, times) by column."""

@@ -19,6 +19,8 @@ KNOWN = CLASSES * CLASS_WORDS
 TAIL = KNOWN
 WINDOW = 32
 RATE = 0.16
+#: Texts side by side in scoring; their states stay in a core's cache.
+SCORED_AT_ONCE = 512
 
 _SHAPES = {
     "E": (KNOWN + 1, 3 * HIDDEN),
@@ -55,14 +57,20 @@ def initial(counts: np.ndarray, tail: float) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis, along which numpy sums fastest."""
-    x -= x.max(axis=0)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over the first axis, along which numpy sums fastest: ``x`` becomes its exponentials; their sums, and what was taken off before."""
+    most = x.max(axis=0)
+    x -= most
+    np.exp(x, out=x)
+    return x.sum(axis=0), most
 
 
 @dataclass
@@ -76,19 +84,17 @@ class Window:
 
 def windows(texts: list[np.ndarray], first: int):
     """Windows over texts sorted by falling length, and how many of the texts each window still has."""
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
+    tokens = np.concatenate([*texts, np.full(WINDOW, TAIL)]).astype(np.int32)
+    starts = np.cumsum(lengths) - lengths
     for start in range(0, int(lengths.max(initial=0)), WINDOW):
         n = int(np.searchsorted(-lengths, -start, side="left"))  # texts longer than start
-        steps = min(WINDOW, int(lengths[0]) - start)
-        wanted = np.full((steps, n), TAIL, np.int32)
-        given = np.full((steps, n), first, np.int32)
-        runs = np.arange(start, start + steps)[:, None] < lengths[None, :n]
-        for i in range(n):
-            own = texts[i][start : start + steps]
-            wanted[: len(own), i] = own
-            before = texts[i][max(0, start - 1) : start + steps - 1]
-            given[(start == 0) : (start == 0) + len(before), i] = before[: steps - (start == 0)]
-        yield n, Window(given, wanted, runs)
+        at = np.arange(start, min(start + WINDOW, int(lengths[0])))[:, None]
+        runs = at < lengths[None, :n]
+        # Where a text has ended, the tokens are another's: they are not scored, and no error comes from there.
+        wanted = tokens[starts[:n] + at]
+        before = np.full(n, first, np.int32) if start == 0 else tokens[starts[:n] + start - 1]
+        yield n, Window(np.concatenate([before[None], wanted[:-1]]), wanted, runs)
 
 
 class Net:
@@ -99,59 +105,82 @@ class Net:
         self.sum, self.seen = np.zeros(SIZE), 0  # of the parameters after each step, by its tokens
 
     def _run(self, w: Window, h: np.ndarray, keep: bool):
-        p, steps = self.p, []
+        """States by step and text, the last ones, and what ``_back`` needs of the steps; inside, a text is a column."""
+        u, steps, h = np.ascontiguousarray(self.p["U"].T), [], h.T
         states = np.empty((*w.given.shape, HIDDEN), np.float32)
         for t, given in enumerate(w.given):
-            own, back = p["E"][given], h @ p["U"]
-            gates = _sigmoid(own[:, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            n = np.tanh(own[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
+            own = np.ascontiguousarray(self.p["E"][given].T)
+            back = u @ h
+            gates = own[: 2 * HIDDEN]
+            gates += back[: 2 * HIDDEN]
+            _sigmoid(gates)
+            z, r = gates[:HIDDEN], gates[HIDDEN:]
+            n = r * back[2 * HIDDEN :]
+            n += own[2 * HIDDEN :]
+            np.tanh(n, out=n)
             if keep:
-                steps.append((h, z, r, n, back[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
-            states[t] = h
-        return states, h, steps
+                steps.append((h, z, r, n, back[2 * HIDDEN :]))
+            h = h - n
+            h *= z
+            h += n
+            states[t] = h.T
+        return states, h.T, steps
 
     def _output(self, states: np.ndarray, wanted: np.ndarray, grads: dict | None):
         """Log probabilities of the wanted tokens; with ``grads``, also what the loss does to the states."""
         p, n = self.p, len(wanted)
-        cls = wanted // CLASS_WORDS
-        logs = _log_softmax(p["Wc"].T @ states.T + p["bc"][:, None])
-        found = logs[cls, np.arange(n)]
+        # By class throughout, so that the rows of a class are one slice.
+        order = np.argsort((wanted // CLASS_WORDS).astype(np.int8), kind="stable")
+        states, wanted = states[order], wanted[order]
+        cls, each = wanted // CLASS_WORDS, np.arange(n)
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        logits = p["Wc"].T @ states.T
+        logits += p["bc"][:, None]
+        found = logits[cls, each]
+        sums, most = _softmax(logits)
+        found -= most + np.log(sums)
         back = None
         if grads is not None:
-            d = np.exp(logs)
-            d[cls, np.arange(n)] -= 1
+            d = logits
+            d /= sums
+            d[cls, each] -= 1
             grads["Wc"] += (d @ states).T
             grads["bc"] += d.sum(axis=1)
             back = d.T @ p["Wc"].T
-        order = np.argsort(cls.astype(np.int8), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+            rows = slice(edges[c], edges[c + 1])
+            if rows.start == rows.stop:
                 continue
-            own, word, each = states[rows], wanted[rows] % CLASS_WORDS, np.arange(len(rows))
-            logs = _log_softmax(p["Ww"][c].T @ own.T + p["bw"][c][:, None])
-            found[rows] += logs[word, each]
+            own, word, at = states[rows], wanted[rows] % CLASS_WORDS, each[: rows.stop - rows.start]
+            logits = p["Ww"][c].T @ own.T
+            logits += p["bw"][c][:, None]
+            found[rows] += logits[word, at]
+            sums, most = _softmax(logits)
+            found[rows] -= most + np.log(sums)
             if grads is not None:
-                d = np.exp(logs)
-                d[word, each] -= 1
+                d = logits
+                d /= sums
+                d[word, at] -= 1
                 grads["Ww"][c] += (d @ own).T
                 grads["bw"][c] += d.sum(axis=1)
                 back[rows] += d.T @ p["Ww"][c].T
-        return found, back
+        place = np.empty(n, np.int64)
+        place[order] = each
+        return found[place], None if back is None else back[place]
 
     def score(self, texts: list[np.ndarray], first: int) -> np.ndarray:
         """Natural logarithm of each whole text's probability; ``texts`` hold token numbers."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        total, h = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), np.float32)
-        for n, w in windows([texts[i] for i in order], first):
-            states, h, _ = self._run(w, h[:n], False)  # the state goes on into the next window
-            found, _ = self._output(states[w.runs], w.wanted[w.runs], None)
-            part = np.zeros(w.runs.shape)
-            part[w.runs] = found
-            total[:n] += part.sum(axis=0)
+        total = np.zeros(len(texts))
+        for at in range(0, len(texts), SCORED_AT_ONCE):
+            batch = [texts[i] for i in order[at : at + SCORED_AT_ONCE]]
+            h = np.zeros((len(batch), HIDDEN), np.float32)
+            for n, w in windows(batch, first):
+                states, h, _ = self._run(w, h[:n], False)  # the state goes on into the next window
+                found, _ = self._output(states[w.runs], w.wanted[w.runs], None)
+                part = np.zeros(w.runs.shape)
+                part[w.runs] = found
+                total[at : at + n] += part.sum(axis=0)
         out = np.empty(len(texts))
         out[order] = total
         return out
@@ -179,21 +208,30 @@ class Net:
 
     def _back(self, w: Window, steps: list, above: np.ndarray, grads: dict) -> None:
         u = self.p["U"]
-        into = np.empty((*w.given.shape, 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(above[0])
+        into = np.empty((len(steps), 3 * HIDDEN, w.given.shape[1]), np.float32)
+        dh = np.zeros((HIDDEN, w.given.shape[1]), np.float32)
+        through = np.empty_like(into[0])
         for t in range(len(steps) - 1, -1, -1):
             h, z, r, n, back = steps[t]
-            dh += above[t]
-            dn = dh * (1 - z) * (1 - n * n)
+            dh += above[t].T
             d = into[t]
-            d[:, :HIDDEN] = dh * (h - n) * z * (1 - z)
-            d[:, HIDDEN : 2 * HIDDEN] = dn * back * r * (1 - r)
-            d[:, 2 * HIDDEN :] = dn
-            through = d.copy()
-            through[:, 2 * HIDDEN :] *= r
-            grads["U"] += h.T @ through
-            dh = dh * z + through @ u.T
-        given, rows = w.given.ravel(), into.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(given, kind="stable")
-        ids, starts = np.unique(given[order], return_index=True)
+            rest = 1 - z
+            dn = np.multiply(dh, rest, out=d[2 * HIDDEN :])
+            dn *= 1 - n * n
+            rest *= z
+            rest *= dh
+            np.multiply(rest, h - n, out=d[:HIDDEN])
+            through[2 * HIDDEN :] = dn * r
+            rest = 1 - r
+            rest *= back
+            np.multiply(rest, through[2 * HIDDEN :], out=d[HIDDEN : 2 * HIDDEN])
+            through[: 2 * HIDDEN] = d[: 2 * HIDDEN]
+            grads["U"] += h @ through.T
+            dh *= z
+            dh += u @ through
+        given, rows = w.given.ravel(), into.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        order = np.argsort(given.astype(np.int16), kind="stable")
+        counts = np.bincount(given)
+        ids = np.flatnonzero(counts)
+        starts = np.cumsum(counts[ids]) - counts[ids]
         grads["E"][ids] += np.add.reduceat(rows[order], starts, axis=0)

@@ -113,3 +113,28 @@ def test_odd_and_empty_documents(spark):
     only_held_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (row,) = M.scores(spark.createDataFrame([(only_held_out, "a b")], "doc_id long, text string")).collect()
     assert (row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0)
+
+
+def test_words_get_numbers_of_which_rare_ones_are_forgotten_between_blocks(monkeypatch, net):
+    monkeypatch.setattr(M, "COUNT_WORDS", 2)
+    words = M.Dictionary({M.word_hash(M.END): (0, 5), M.word_hash(b"a"): (1, 4), M.word_hash(b"b"): (G.TAIL, 2)})
+    assert words.of([b"a", b"x", M.END, b"y", b"x", b"b"]).tolist() == [1, 3, 0, 4, 3, 2]
+    texts = ["z a z\tX", "", "b x z"]
+    block = M.BlockScores(texts, words, net, 0)  # x and y are forgotten first
+    assert block.hashes.tolist() == [M.word_hash(b"z"), M.word_hash(b"x")]
+    assert sorted(block.triples.T.tolist()) == [[0, 0, 2], [0, 1, 1], [2, 0, 1], [2, 1, 1]]
+    assert (block.n_tokens.tolist(), block.n_known.tolist(), block.n_tail.tolist()) == ([5, 1, 4], [2, 1, 2], [3, 0, 3])
+    assert block.tail_logs.tolist() == pytest.approx([0, 0, math.log10(3)])
+    alone = [net.score(M._tokens([t], words), 0)[0] / math.log(10) for t in texts]
+    assert block.score.tolist() == pytest.approx(alone, rel=1e-5)
+
+
+def test_windows_hold_each_token_once(monkeypatch):
+    texts = sorted(_texts(4, (70, 33, 32, 5, 1, 0)), key=len, reverse=True)
+    seen = [[] for _ in texts]
+    for n, w in G.windows(texts, 7):
+        for i in range(n):
+            got, before = w.wanted[w.runs[:, i], i].tolist(), w.given[w.runs[:, i], i].tolist()
+            assert before == [*(seen[i][-1:] or [7]), *got[:-1]]
+            seen[i] += got
+    assert seen == [t.tolist() for t in texts]
