@@ -100,6 +100,26 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert D.near_classes(empty_documents(spark)).count() == 0
 
 
+def test_later_links_are_merged_from_root_to_root(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    roots = C.components(spark.createDataFrame(links[:150], "a long, b long"))
+    roots = C.merged(roots, spark.createDataFrame(links[150:], "a long, b long"))
+    whole = C.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_each_round_goes_through_its_own_links_only(spark, monkeypatch):
+    given, components = [], C.components
+    monkeypatch.setattr(C, "components", lambda links: given.append(links.count()) or components(links))
+    # 20 chains of 12 in one bucket each: a comparison with the first lead links two, later ones the others.
+    members = spark.createDataFrame([(c, 100 * c + i, 1) for c in range(20) for i in range(12)], "bucket long, id long, size int")
+    links, roots = C.linked_classes(members, lambda pairs: pairs.filter("b = a + 1"))
+    assert links.count() == 20 * 11 and len(given) > 2
+    assert sum(given) == links.count()
+    assert {(r.id, r.root) for r in roots.collect()} == {(100 * c + i, 100 * c) for c in range(20) for i in range(12)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7), (None, 3), (200, 200)]
     got = {r.id: r.root for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
