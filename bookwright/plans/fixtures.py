@@ -40,21 +40,22 @@ def bookings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"
     )
-    # The join with the orders needs this partitioning anyway; where they are broadcast instead,
-    # it keeps a file of one row group from becoming one task.
-    lines = lines.repartition("l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
+    # What is too large to broadcast meets while rows are few or narrow, so that no join shuffles whole rows.
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    # The join with the orders needs this partitioning anyway; where they are broadcast instead,
+    # it keeps a file of one row group from becoming one task.
+    lines = lines.repartition("l_orderkey")
     rows = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
     order = F.col("l_orderkey")
     campaign = F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit("   "), F.col("o_orderpriority"))
