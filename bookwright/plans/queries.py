@@ -60,7 +60,8 @@ def _source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, sf: str) -> DataFrame:
-    return C.children_with_controls(_source(spark, sf))
+    # Both the children and, by their dates, the control children are made of it.
+    return C.children_with_controls(materialise(_source(spark, sf), "source"))
 
 
 def _tasks(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,3 +66,9 @@ def test_bookings_shuffle_no_whole_rows_but_for_the_orders(spark):
     at = {name: next(i for i, j in enumerate(joins) if name in j) for name in ("l_partkey", "o_custkey", "l_orderkey")}
     # The plan is printed from the top: the lines meet the orders above where they meet the parts, and orders the customers.
     assert at["l_orderkey"] < at["l_partkey"] and at["l_orderkey"] < at["o_custkey"]
+
+
+def test_children_are_read_from_written_rows(spark):
+    """Controls are made of the same written children, and not of the reports once more."""
+    plan = Q.all_queries()["all_children"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "l_orderkey" not in plan.replace("row_ord", "")
