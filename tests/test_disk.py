@@ -72,3 +72,14 @@ def test_children_are_read_from_written_rows(spark):
     """Controls are made of the same written children, and not of the reports once more."""
     plan = Q.all_queries()["all_children"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "l_orderkey" not in plan.replace("row_ord", "")
+
+
+def test_few_layouts_are_broadcast(spark, tmp_path):
+    """Files of two layouts: the lines are not shuffled to learn that the table of files is small."""
+    for name, sign in (("a", b"\x80"), ("b", b"\x81")):
+        row = "\t".join(["C", "1", "2", "P", "L", "S", "2025-01-02"]).encode("latin-1")
+        (tmp_path / f"{name}.tsv").write_bytes("\t".join(S.REQUIRED_COLUMNS).encode() + b"\n" + row.replace(b"P", sign) + b"\n")
+    rows = P.read_reports(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.report_id, r.PropertyName) for r in rows.collect()) == [("a", "€"), ("b", "\x81")]
