@@ -6,6 +6,8 @@ unique per key; ``gid`` NULL together with an ``error`` means the call failed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +76,21 @@ def child_intents(parent_rows: DataFrame, children: DataFrame) -> DataFrame:
     )
 
 
-def child_outcomes(parent_rows: DataFrame, children: DataFrame, acks: DataFrame) -> DataFrame:
+def child_outcomes(
+    parent_rows: DataFrame, children: DataFrame, acks: DataFrame, put_down: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Children after the calls.
 
     Answers are keyed by parent, reference and title: a control child has no reference, a source
-    child has a unique one. A child of a created parent without an answer keeps ``would_create``.
+    child has a unique one. A child of a created parent without an answer keeps ``would_create``. ``put_down`` writes the
+    children joined to their parents, so that the shuffles of that join are gone when the answers are joined.
     """
     key = [*S.CHILD_KEY, "subtask_name"]
     answers = acks.select(*key, F.lit(True).alias("_answered"), F.col("gid"), F.col("error"))
-    rows = join_children(parent_rows, children, "parent_task_gid").join(answers, key, "left")
+    rows = join_children(parent_rows, children, "parent_task_gid")
+    if put_down is not None:
+        rows = put_down(rows)
+    rows = rows.join(answers, key, "left")
 
     parent_ready = (F.col("status") == S.CREATED) & (F.col("parent_task_gid") != "")
     answered = F.coalesce(F.col("_answered"), F.lit(False))

@@ -599,7 +599,8 @@ def child_intents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def child_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     parents, children = _outcomes(spark, sf)
-    return _child_table(O.child_outcomes(parents, children, _child_acks(O.child_intents(parents, children))))
+    acks = materialise(_child_acks(O.child_intents(parents, children)), "acks")
+    return _child_table(O.child_outcomes(parents, children, acks, put_down=lambda rows: materialise(rows, "joined")))
 
 
 @query
@@ -607,7 +608,8 @@ def summary_text_live(spark: SparkSession, sf: str) -> DataFrame:
     """The summaries after the calls: what was created, what failed, what is still out."""
     run = _run(spark, sf)
     parents = materialise(O.parent_outcomes(run.parents, _parent_acks(spark, sf, run.parents)), "outcomes")
-    children = O.child_outcomes(parents, run.children, _child_acks(O.child_intents(parents, run.children)))
+    acks = materialise(_child_acks(O.child_intents(parents, run.children)), "acks")
+    children = O.child_outcomes(parents, run.children, acks)
     summary = R.run_summary(run.counts, parents, children, run.unmatched)
     return R.summary_text(_with_facts(spark, sf, summary), "LIVE_CREATE")
 

@@ -83,3 +83,17 @@ def test_few_layouts_are_broadcast(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((r.report_id, r.PropertyName) for r in rows.collect()) == [("a", "€"), ("b", "\x81")]
+
+
+def test_outcomes_are_the_same_from_written_rows(spark):
+    parents = of_parents(spark, 30).withColumns(
+        {"task_name": F.lit("t"), "status": F.when(F.col("job_number") % 3 == 0, S.CREATED).otherwise(S.SKIP_EXISTS), "parent_task_gid": F.lit("g")}
+    )
+    children = of_parents(spark, 30).withColumns(
+        {"our_ref": F.lit("1"), "subtask_name": F.lit("s"), "due": F.lit(None).cast("date"), "start_date_raw": F.lit(""),
+         "subtask_kind": F.lit("source"), "child_ord": F.lit(1)}
+    )
+    acks = children.filter("job_number % 2 = 0").select(*S.CHILD_KEY, "subtask_name", F.lit("c").alias("gid"), F.lit(None).cast("string").alias("error"))
+    want = sorted(O.child_outcomes(parents, children, acks).collect())
+    assert sorted(O.child_outcomes(parents, children, acks, lambda rows: materialise(rows, "joined")).collect()) == want
+    assert len(want) == 30 and sum(r.subtask_status == S.CREATED for r in want) == 5
