@@ -54,6 +54,28 @@ def child_rows(spark):
     return rows.withColumns({c: F.col("job_number") for c in S.CHILD_COLUMNS})
 
 
+def test_large_tables_are_written_in_slices(spark, tmp_path, monkeypatch):
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    W.write_results({"subtask_results": child_rows(spark)}, whole)
+    calls = []
+    write = W.write_csv
+    monkeypatch.setattr(W, "SLICE_ROWS", 150)
+    monkeypatch.setattr(W, "write_csv", lambda *args, **kinds: (calls.append(kinds["slices"]), write(*args, **kinds)))
+    before = shuffle_files(spark)
+    W.write_results({"subtask_results": child_rows(spark)}, parts)
+    W.write_results({"subtask_results": child_rows(spark)}, parts, "overwrite")
+    assert calls == [3, 3] and not shuffle_files(spark) - before
+
+    def lines(path: str) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {}
+        for file in sorted(glob.glob(f"{path}/subtask_results/report_id=*/*.csv")):
+            with open(file) as f:
+                found.setdefault(os.path.basename(os.path.dirname(file)), []).extend(f.read().splitlines()[1:])
+        return found
+
+    assert len(lines(whole)) == 7 and lines(parts) == lines(whole)
+
+
 def test_bookings_shuffle_no_whole_rows_but_for_the_orders(spark):
     """With nothing broadcast, texts cross the shuffle with the part's name alone, and customers meet the orders."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
